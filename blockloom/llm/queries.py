@@ -16,5 +16,20 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_mixing,)}
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from blockloom.llm.records import encode_and_store, read
+
+    rows = read(encode_and_store(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    return rows.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm.media import digest, text_media
+
+    return digest(text_media(_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_records, op7_mixing, op9_media)}
 ORACLES: dict[str, str] = {}
