@@ -16,6 +16,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm.common import held_out
+    from blockloom.llm.quality import fit, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,5 +40,5 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(text_media(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_records, op7_mixing, op9_media)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_token_records, op7_mixing, op9_media)}
 ORACLES: dict[str, str] = {}
