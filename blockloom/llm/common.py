@@ -133,5 +133,6 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         edges = stage(small, name)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
-            return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+            ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component")))).alias("e"))
+            return ends.select("e.node", "e.component").groupBy("node").agg(F.min("component").alias("component"))
         last = now

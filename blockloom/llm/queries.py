@@ -40,5 +40,11 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(text_media(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_token_records, op7_mixing, op9_media)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm.jaccard import join
+
+    return join(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality, op3_token_records, op7_mixing, op9_media, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
