@@ -15,6 +15,8 @@ from blockloom.llm.common import held_out, mix64, spans
 FEATURES = ("log_bytes", "log_lines", "word_len", "long_words", "upper", "digit", "symbol", "space_run", "punct", "ascii_letters", "line_upper", "line_symbol", "line_bar", "word_symbol", "word_upper", "repeat_bytes", "short_lines", "vowels", "repeat_words", "repeat_near", "line_repeat")
 #: Rows of a class to fit on, at most: those of least hash, alike whatever the input's size.
 FIT_ROWS = 20_000
+#: Bytes of text to look at together: bounds the memory of a task.
+SLICE = 1 << 19
 
 _UP, _LOW, _DIGIT, _SPACE, _PUNCT, _SYMBOL, _HIGH, _CTRL = range(8)
 _CLASS = np.full(256, _CTRL, np.uint8)
@@ -30,6 +32,16 @@ _VOWEL[[ord(c) for c in "aeiouAEIOU"]] = 1
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """One row of FEATURES per text, from slices of whole texts of about SLICE bytes."""
+    n, parts, i = len(offsets) - 1, [], 0
+    while i < n:
+        j = max(i + 1, min(n, int(np.searchsorted(offsets, offsets[i] + SLICE, "right")) - 1))
+        parts.append(_statistics(data, offsets[i : j + 1]))
+        i = j
+    return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
+
+
+def _statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of FEATURES per text: byte counts and worst lines, on whole texts at once.
 
     data and offsets are a string column's buffers. Every statistic is a share or a
