@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +63,36 @@ def unframe(data, at: int) -> tuple[bytes, int]:
 
 
 _loaded: dict[str, tuple] = {}
+#: Punctuation that a letter before it never joins.
+_TRAILING = b".,;:!?"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and the rest, in order, from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def _plain(tok):
+    """Ids of one word of lower-case letters by the library's merges alone, or None for other words.
+
+    Offered if the tokenizer treats a sample of such words alike with and without its
+    normaliser and pre-tokenizer, which change nothing in them.
+    """
+    table = _byte_letters()
+
+    def ids(word: str) -> list[int] | None:
+        if not word.isascii():
+            if not (word.islower() and word.isalpha() and unicodedata.is_normalized("NFC", word) and all(c < "\u0250" for c in word)):
+                return None
+            word = word.encode().decode("latin-1").translate(table)
+        elif not word.isalpha():
+            return None
+        return [t.id for t in tok.model.tokenize(word)]
+
+    sample = ["a", "the", "letters", "éèà", "straße", "größe", "niño", "zzqx", "ÿþð"]
+    return ids if all(ids(w) == tok.encode(w, add_special_tokens=False).ids for w in sample) else lambda word: None
 
 
 def _tokenizer(path: str):
@@ -68,28 +100,54 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path), {}
+        tok = Tokenizer.from_file(path)
+        _loaded[path] = tok, _plain(tok), {}
     return _loaded[path]
 
 
 def encode_words(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of whole texts, each distinct word encoded once and remembered.
 
-    Exact for tokenizers whose pre-tokenizer drops white space and never matches across it:
-    their ids of a text are those of its white-space-separated words in turn.
+    Exact for tokenizers that lower case, whose pre-tokenizer drops white space, never
+    matches across it and parts letters from punctuation: their ids of a text are those of
+    its white-space-separated words in turn.
     """
-    tok, cache = _tokenizer(path)
+    tok, plain, cache = _tokenizer(path)
     split = [t.encode().split() for t in texts]  # bytes split at ASCII white space only
-    fresh = list({w for ws in split for w in ws} - cache.keys())
+    fresh = set()
+    for ws in split:
+        fresh.update(ws)
+    fresh = {w for w in fresh if w not in cache}
     if len(cache) + len(fresh) > CACHED_WORDS:
         cache.clear()
-        fresh = list({w for ws in split for w in ws})
-    for w, e in zip(fresh, tok.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-        cache[w] = np.array(e.ids, np.uint32).tobytes()
+        fresh = {w for ws in split for w in ws}
+    slow = []
+    for w in fresh:
+        stem = w.rstrip(_TRAILING)
+        ids = plain((stem.lower() if stem.isascii() else stem).decode()) if stem else None
+        end = b"" if ids is None or len(stem) == len(w) else _punctuation(tok, w[len(stem) :])
+        if ids is None:
+            slow.append(w)
+        else:
+            cache[w] = array("I", ids).tobytes() + end
+    for w, e in zip(slow, tok.encode_batch([w.decode() for w in slow], add_special_tokens=False), strict=True):
+        cache[w] = array("I", e.ids).tobytes()
     get = cache.__getitem__
     return [np.frombuffer(b"".join(map(get, ws)), np.uint32) for ws in split]
 
 
+_ends: dict[tuple[int, bytes], bytes] = {}
+
+
+def _punctuation(tok, run: bytes) -> bytes:
+    key = (id(tok), run)
+    if key not in _ends:
+        if len(_ends) > 4096:
+            _ends.clear()
+        _ends[key] = array("I", tok.encode(run.decode(), add_special_tokens=False).ids).tobytes()
+    return _ends[key]
+
+
 def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", separator: int | None = SEPARATOR, unit: int = 2) -> DataFrame:
     """(doc_id, ids binary): each text's ids and the separator, in little-endian units of 2 or 4 bytes."""
     kind = np.dtype(f"<u{unit}")
@@ -197,7 +255,8 @@ def read(manifest: DataFrame, unit: int = 2) -> DataFrame:
                             ids.append(np.frombuffer(payload, f"<u{unit}").astype("<u4").tobytes())
                         yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array(start + index[a:b, 1].astype(np.int64)), pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])
 
-    files_ = manifest.select("path", "n_docs", "start").repartition(F.col("path"))
+    # One file to a task: a number given by the caller is not coalesced.
+    files_ = manifest.select("path", "n_docs", "start").repartition(max(1, manifest.count()))
     return files_.mapInArrow(run, "doc_id long, start long, ids binary")
 
 
