@@ -10,6 +10,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from blockloom.llm.pieces import digest
+
+    return digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockloom.llm.mixing import mix
 
@@ -46,5 +54,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_token_records, op7_mixing, op9_media, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_token_records, op6_sentencepiece, op7_mixing, op9_media, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
