@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm.pages import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockloom.llm.vectors import near_duplicates
 
@@ -60,5 +66,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_token_records, op5_near_vectors, op6_sentencepiece, op7_mixing, op9_media, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_token_records, op4_html_text, op5_near_vectors, op6_sentencepiece, op7_mixing, op9_media, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
