@@ -54,6 +54,12 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm.warc import derivatives, digest, responses
+
+    return digest(derivatives(responses(_table(spark, sf_dir, "pages"))))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockloom.llm.media import digest, text_media
 
@@ -66,5 +72,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_token_records, op4_html_text, op5_near_vectors, op6_sentencepiece, op7_mixing, op9_media, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_token_records, op4_html_text, op5_near_vectors, op6_sentencepiece, op7_mixing, op8_warc_derivatives, op9_media, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
