@@ -36,6 +36,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm.lm import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockloom.llm.common import held_out
     from blockloom.llm.quality import fit, score
@@ -72,5 +78,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_token_records, op4_html_text, op5_near_vectors, op6_sentencepiece, op7_mixing, op8_warc_derivatives, op9_media, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_quality, op3_token_records, op4_html_text, op5_near_vectors, op6_sentencepiece, op7_mixing, op8_warc_derivatives, op9_media, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
