@@ -20,6 +20,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -148,9 +149,13 @@ def _punctuation(tok, run: bytes) -> bytes:
     return _ends[key]
 
 
-def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", separator: int | None = SEPARATOR, unit: int = 2) -> DataFrame:
-    """(doc_id, ids binary): each text's ids and the separator, in little-endian units of 2 or 4 bytes."""
-    kind = np.dtype(f"<u{unit}")
+def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", separator: int | None = SEPARATOR, unit: int = 2, files: Files | None = None) -> DataFrame:
+    """(doc_id, ids binary, bucket, deal): each text's ids and the separator, in little-endian units of 2 or 4 bytes.
+
+    bucket is the file that the key belongs to, deal a value that Spark's hash partitioning
+    sends to the bucket's own partition.
+    """
+    kind, files = np.dtype(f"<u{unit}"), files or Files([], [0])
 
     def run(batches):
         for batch in batches:
@@ -158,10 +163,36 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             for i in range(0, len(texts), 256):
                 for ids in encode_words(texts[i : i + 256], tokenizer):
                     out.append((np.append(ids, np.uint32(separator)) if separator is not None else ids).astype(kind).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+            bucket = files.bucket(batch.column(0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(bucket, pa.int32()), pa.array(np.array(files.deals, np.int32)[bucket])], names=["doc_id", "ids", "bucket", "deal"])
 
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return d.mapInArrow(run, "doc_id long, ids binary")
+    return d.mapInArrow(run, "doc_id long, ids binary, bucket int, deal int")
+
+
+class Files(NamedTuple):
+    """Upper bounds of the keys of all files but the last, and a value per file that hashes to a partition of its own."""
+
+    bounds: list[int]
+    deals: list[int]
+
+    def bucket(self, keys: pa.Array) -> np.ndarray:
+        """Null keys are in the first file."""
+        low = self.bounds[0] if self.bounds else 0
+        return np.searchsorted(np.array(self.bounds, np.int64), keys.fill_null(low).to_numpy(zero_copy_only=False)).astype(np.int32)
+
+
+def plan_files(docs: DataFrame, key: str = "doc_id", text: str = "text", file_bytes: int = FILE_TEXT_BYTES) -> Files:
+    """Files of about file_bytes of text each, parted by quantiles of the keys: a few numbers per file."""
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0]
+    n = max(1, -(-(total or 0) // file_bytes))
+    found = docs.agg(F.percentile_approx(F.col(key).cast("long"), [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else []
+    bounds = sorted(set(found or []))
+    n = len(bounds) + 1
+    values = spark.range(64 * n + 1024).select(F.col("id").cast("int").alias("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("to")).groupBy("to").agg(F.min("id").alias("id"))
+    by = {r["to"]: r["id"] for r in values.collect()}
+    return Files(bounds, [by.get(i, i) for i in range(n)])
 
 
 def _write_file(rows: Iterator[tuple], folder: str, bucket: int, unit: int) -> tuple:
@@ -183,22 +214,13 @@ def _write_file(rows: Iterator[tuple], folder: str, bucket: int, unit: int) -> t
     return bucket, f"{folder}/{os.path.basename(name)}", n, ids, at
 
 
-def write(encoded: DataFrame, bounds: list[int], folder: str, unit: int = 2) -> DataFrame:
-    """Writes (doc_id, ids) as record files in ascending doc_id order (null first, ties by ids).
+def write(encoded: DataFrame, folder: str, n_files: int, unit: int = 2) -> DataFrame:
+    """Writes encode()'s rows as record files in ascending doc_id order (null first, ties by ids).
 
-    bounds, ascending, part the keys into files: one more file than bounds, the i-th with the
-    keys up to bounds[i]. Rows stream from the sort into the file, so no task holds one.
-    Returns the manifest (bucket, path, n_docs, n_ids, n_bytes, start): one row per file.
+    Rows stream from the sort into the file, so no task holds one. Returns the manifest
+    (bucket, path, n_docs, n_ids, n_bytes, start): one row per file.
     """
-    # Bounds below the key, counted by halves: a join-free search that stays within one expression.
-    def search(lo: int, hi: int) -> F.Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") > bounds[mid], search(mid + 1, hi)).otherwise(search(lo, mid))
-
-    bucket = search(0, len(bounds))
-    dealt = encoded.withColumn("bucket", bucket.cast("int")).repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
+    dealt = encoded.repartition(n_files, "deal").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
 
     def run(batches):
         def rows():
@@ -268,7 +290,5 @@ def encode_and_store(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
     shared folder unless named.
     """
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    total = d.agg(F.sum(F.octet_length("text"))).first()[0]
-    n = max(1, -(-(total or 0) // FILE_TEXT_BYTES))
-    bounds = d.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else []
-    return write(encode(d, tokenizer, "doc_id", "text", separator, unit), sorted(set(bounds or [])), folder or new_path(docs.sparkSession, "records"), unit)
+    files = plan_files(d)
+    return write(encode(d, tokenizer, "doc_id", "text", separator, unit, files), folder or new_path(docs.sparkSession, "records"), len(files.deals), unit)
