@@ -18,6 +18,7 @@ what follows up to the next) are independent; distinct words are solved once and
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,12 @@ from blockloom.llm.common import stage
 
 MARK = "▁"
 #: Characters to a chunk; longer texts are cut.
-CHUNK = 16384
+CHUNK = 65536
 #: Words whose pieces a worker remembers, and the longest word that is.
-CACHED_WORDS = 1 << 19
+CACHED_WORDS = 700_000
 CACHED_CHARS = 64
+#: Neighbouring pieces whose rule a worker remembers.
+CACHED_PAIRS = 1 << 20
 
 
 class Vocabulary:
@@ -48,12 +51,20 @@ class Vocabulary:
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if s else p.replace(MARK, " ").encode() for i, (p, s) in enumerate(zip(self.pieces, special, strict=True))]
         self.longest = max(map(len, self.ids))
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.whole = {p for p in self.ids if self.merge(p) == [p]}
         self.reach = {}  # last character -> longest piece that ends with it
         for p in self.whole:
             self.reach[p[-1]] = max(len(p), self.reach.get(p[-1], 1))
         self.words: dict[str, bytes] = {}
+        #: Neighbouring characters of any piece; between others every path has a cut.
+        self.joins = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        import ahocorasick
+
+        self.finder = ahocorasick.Automaton()
+        for p in self.whole:
+            self.finder.add_word(p, (self.ids[p], len(p)))
+        self.finder.make_automaton()
 
     def normalise(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
@@ -70,11 +81,17 @@ class Vocabulary:
 
     def follows(self, a: str, b: str) -> bool:
         """Whether b may stand after a: the two, joined, encode to the two."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) > 4 * CACHED_WORDS:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merge(a + b) == [a, b]
+        i, j = self.ids.get(a), self.ids.get(b)
+        if i is None or j is None:
+            return self.merge(a + b) == [a, b]
+        found = self.pairs.get(i << 20 | j)
+        return self._follows(i << 20 | j) if found is None else found
+
+    def _follows(self, pair: int) -> bool:
+        if len(self.pairs) > CACHED_PAIRS:
+            self.pairs.clear()
+        a, b = self.pieces[pair >> 20], self.pieces[pair & 0xFFFFF]
+        found = self.pairs[pair] = self.merge(a + b) == [a, b]
         return found
 
     def emit(self, parts: list[str]) -> list[int]:
@@ -102,23 +119,40 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def best_path(v: Vocabulary, s: str) -> list[str]:
-    """Pieces of one word: every prefix has one finite path, so a node keeps its last arc."""
-    n, whole, pairs, reach = len(s), v.whole, v.pairs, v.reach
+def best_path(v: Vocabulary, s: str) -> list[int]:
+    """Ids of one word: every prefix has one finite path, so a node keeps its last arc alone."""
+    n = len(s)
+    last, begin = [-1] * (n + 1), [0] * (n + 1)
+    pairs = v.pairs.get
+    for end, (piece, length) in v.finder.iter(s):  # all arcs, by their ends
+        end += 1
+        if last[end] < 0:
+            i = end - length
+            if not i:
+                last[end] = piece
+            elif (before := last[i]) >= 0:
+                pair = before << 20 | piece
+                ok = pairs(pair)
+                if ok or (ok is None and v._follows(pair)):
+                    last[end], begin[end] = piece, i
+    if last[n] < 0:
+        return v.emit(_path_with_unknowns(v, s))
+    out = []
+    while n:
+        out.append(last[n])
+        n = begin[n]
+    return out[::-1]
+
+
+def _path_with_unknowns(v: Vocabulary, s: str) -> list[str]:
+    """The same for words with characters outside the vocabulary, which are arcs by themselves."""
+    n = len(s)
     last: list = [None] * (n + 1)
     for end in range(1, n + 1):
-        for i in range(max(0, end - reach.get(s[end - 1], 1)), end):
-            p = s[i:end]
-            if p in whole or i == end - 1:
-                if not i:
-                    last[end] = p
-                    break
-                a = last[i]
-                if a is not None:
-                    ok = pairs.get((a, p))
-                    if ok or (ok is None and v.follows(a, p)):
-                        last[end] = p
-                        break
+        for i in v.arcs(s, end):
+            if not i or (last[i] is not None and v.follows(last[i], s[i:end])):
+                last[end] = s[i:end]
+                break
     parts = []
     while n:
         parts.append(last[n])
@@ -144,9 +178,15 @@ def split_words(s: str) -> list[str]:
 
 
 def word_ids(v: Vocabulary, w: str) -> bytes:
+    """Ids of a word: its parts between characters that no piece joins are independent too."""
     found = v.words.get(w)
     if found is None:
-        found = np.array(v.emit(best_path(v, w)), "<u4").tobytes()
+        joins = v.joins
+        cuts = [i for i in range(1, len(w)) if w[i - 1 : i + 1] not in joins]
+        if cuts:
+            found = b"".join([word_ids(v, w[i:j]) for i, j in zip([0, *cuts], [*cuts, len(w)], strict=True)])
+        else:
+            found = array("I", best_path(v, w)).tobytes()
         if len(w) <= CACHED_CHARS:
             if len(v.words) > CACHED_WORDS:
                 v.words.clear()
@@ -319,7 +359,7 @@ def _long_ids(long: DataFrame, model: str, chunk: int) -> DataFrame:
     parts = parts.withColumn("no", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.lit(chunk)).cast("int") - 1)))
     lo = F.greatest(F.col("no") * chunk - context, F.lit(0))
     parts = parts.select("row", "no", F.substring("text", lo + 1, F.lit(chunk + 2 * context)).alias("s"), (F.col("no") * chunk - lo).alias("lo"), F.least(F.col("n") - lo, F.col("no") * chunk - lo + chunk).alias("hi"))
-    parts = parts.repartition(F.xxhash64("row", "no"))
+    parts = stage(parts.repartition(F.xxhash64("row", "no")), "pieces-chunks")
     flat = "array<int>"
 
     def matrices(batches):
