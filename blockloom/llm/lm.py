@@ -61,9 +61,8 @@ def make_blocks(d: DataFrame, block_tokens: int) -> DataFrame:
         for batch in batches:
             for key, text, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = (text or "").encode().lower().split()  # bytes: ASCII letters and white space only
-                for w in set(words) - local.keys():
-                    local[w] = len(local)
-                parts.append(np.fromiter(map(local.__getitem__, words), np.uint32, len(words)))
+                number = local.setdefault
+                parts.append(np.array([number(w, len(local)) for w in words], np.uint32))
                 keys.append(key)
                 held.append(h)
                 sizes.append(len(words))
