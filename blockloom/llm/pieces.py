@@ -18,6 +18,7 @@ what follows up to the next) are independent; distinct words are solved once and
 from __future__ import annotations
 
 import math
+import zlib
 from array import array
 
 import numpy as np
@@ -30,11 +31,11 @@ from blockloom.llm.common import stage
 MARK = "▁"
 #: Characters to a chunk; longer texts are cut.
 CHUNK = 65536
-#: Words whose pieces a worker remembers, and the longest word that is.
-CACHED_WORDS = 700_000
+#: Words whose pieces a worker remembers, twice so many at most, and the longest word that is.
+CACHED_WORDS = 150_000
 CACHED_CHARS = 64
 #: Neighbouring pieces whose rule a worker remembers.
-CACHED_PAIRS = 1 << 20
+CACHED_PAIRS = 400_000
 
 
 class Vocabulary:
@@ -57,6 +58,9 @@ class Vocabulary:
         for p in self.whole:
             self.reach[p[-1]] = max(len(p), self.reach.get(p[-1], 1))
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        if len(self.pieces) > 1 << 15:
+            raise ValueError("vocabularies of up to 32768 pieces only")
         #: Neighbouring characters of any piece; between others every path has a cut.
         self.joins = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         import ahocorasick
@@ -84,13 +88,13 @@ class Vocabulary:
         i, j = self.ids.get(a), self.ids.get(b)
         if i is None or j is None:
             return self.merge(a + b) == [a, b]
-        found = self.pairs.get(i << 20 | j)
-        return self._follows(i << 20 | j) if found is None else found
+        found = self.pairs.get(i << 15 | j)
+        return self._follows(i << 15 | j) if found is None else found
 
     def _follows(self, pair: int) -> bool:
         if len(self.pairs) > CACHED_PAIRS:
             self.pairs.clear()
-        a, b = self.pieces[pair >> 20], self.pieces[pair & 0xFFFFF]
+        a, b = self.pieces[pair >> 15], self.pieces[pair & 0x7FFF]
         found = self.pairs[pair] = self.merge(a + b) == [a, b]
         return found
 
@@ -131,7 +135,7 @@ def best_path(v: Vocabulary, s: str) -> list[int]:
             if not i:
                 last[end] = piece
             elif (before := last[i]) >= 0:
-                pair = before << 20 | piece
+                pair = before << 15 | piece
                 ok = pairs(pair)
                 if ok or (ok is None and v._follows(pair)):
                     last[end], begin[end] = piece, i
@@ -178,8 +182,11 @@ def split_words(s: str) -> list[str]:
 
 
 def word_ids(v: Vocabulary, w: str) -> bytes:
-    """Ids of a word: its parts between characters that no piece joins are independent too."""
-    found = v.words.get(w)
+    """Ids of a word: its parts between characters that no piece joins are independent too.
+
+    Remembered words are in two generations; the older one goes when the newer is full.
+    """
+    found = v.words.get(w) or v.older.get(w)
     if found is None:
         joins = v.joins
         cuts = [i for i in range(1, len(w)) if w[i - 1 : i + 1] not in joins]
@@ -187,17 +194,17 @@ def word_ids(v: Vocabulary, w: str) -> bytes:
             found = b"".join([word_ids(v, w[i:j]) for i, j in zip([0, *cuts], [*cuts, len(w)], strict=True)])
         else:
             found = array("I", best_path(v, w)).tobytes()
-        if len(w) <= CACHED_CHARS:
-            if len(v.words) > CACHED_WORDS:
-                v.words.clear()
-            v.words[w] = found
+    if len(w) <= CACHED_CHARS:
+        if len(v.words) >= CACHED_WORDS:
+            v.older, v.words = v.words, {}
+        v.words[w] = found
     return found
 
 
 def encode_text(v: Vocabulary, text: str) -> bytes:
     """Little-endian u32 ids of a whole text in one pass."""
-    get = v.words.get
-    return b"".join([get(w) or word_ids(v, w) for w in split_words(v.normalise(text))])
+    words = split_words(v.normalise(text))
+    return b"".join([v.words.get(w) or word_ids(v, w) for w in words])
 
 
 def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
@@ -441,7 +448,28 @@ def decode(df: DataFrame, model: str, ids: str = "ids", name: str = "decoded") -
 
 
 def digest(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, decoded_bytes, decoded_crc32, exact): encodes, decodes the ids and compares."""
+    """(doc_id, n_tokens, ids_crc32, decoded_bytes, decoded_crc32, exact): encodes, decodes the ids and compares.
+
+    The same as digests of encode() and decode(); texts of one chunk go through both in one pass.
+    """
     d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    both = decode(encode(d, model, chunk=chunk), model)
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.octet_length("decoded").cast("long").alias("decoded_bytes"), F.crc32(F.encode("decoded", "UTF-8")).alias("decoded_crc32"), (F.col("decoded") == F.col("text")).alias("exact"))
+    names = ["doc_id", "n_tokens", "ids_crc32", "decoded_bytes", "decoded_crc32", "exact"]
+
+    def short(batches):
+        v = vocabulary(model)
+        for batch in batches:
+            rows = []
+            for x in batch.column(1):
+                x = x.as_py()
+                ids = encode_text(v, x)
+                back = decode_ids(v, np.frombuffer(ids, "<u4"))
+                raw = back.encode()
+                rows.append((len(ids) // 4, zlib.crc32(ids), len(raw), zlib.crc32(raw), back == x))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.int64()] * 4 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
+
+    fits = F.char_length("text") < chunk
+    done = d.where(fits).mapInArrow(short, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_crc32 long, decoded_bytes long, decoded_crc32 long, exact boolean")
+    both = decode(encode(d.where(~fits), model, chunk=chunk), model)
+    return done.union(both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.octet_length("decoded").cast("long").alias("decoded_bytes"), F.crc32(F.encode("decoded", "UTF-8")).alias("decoded_crc32"), (F.col("decoded") == F.col("text")).alias("exact")))
