@@ -50,6 +50,14 @@ def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """Lowers the session's Arrow batch to so many rows: rows are whole texts, and a worker holds a batch at a time."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def held_out(key: str, mod: int) -> F.Column:
     """crc32 of the id as text leaves 2; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % mod == 2, F.lit(False))

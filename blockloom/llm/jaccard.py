@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import _forest, components, mix64, stage
+from blockloom.llm.common import _forest, components, mix64, stage, text_batches
 
 #: Classes to a tile: a group holds two tiles' sets.
 TILE = 512
 #: Words whose hashes a worker remembers.
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 250_000
 
 _word_hash: dict[bytes, int] = {}
 
@@ -96,7 +96,7 @@ def signatures(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
                 sigs.append(minima(s, mul, add).tobytes() if some else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["row", "set_id", "n_shingles", "sig"])
 
-    return docs.select("row", "text").mapInArrow(run, "row long, set_id binary, n_shingles long, sig binary")
+    return text_batches(docs).select("row", "text").mapInArrow(run, "row long, set_id binary, n_shingles long, sig binary")
 
 
 def candidates(classes: DataFrame, trees: int, depth: int, threshold: float, recall: float) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import held_out, mix64, pack, stage, unpack
+from blockloom.llm.common import held_out, mix64, pack, stage, text_batches, unpack
 
 #: Tokens to a block and n-grams to a range of fingerprints, about.
 BLOCK_TOKENS = 2_000_000
@@ -73,7 +73,7 @@ def make_blocks(d: DataFrame, block_tokens: int) -> DataFrame:
         if keys:
             yield flush()
 
-    return d.mapInArrow(run, "block long, n long, n_words long, ids array<long>, held binary, sizes binary, tokens binary, words binary")
+    return text_batches(d).mapInArrow(run, "block long, n long, n_words long, ids array<long>, held binary, sizes binary, tokens binary, words binary")
 
 
 class Block:

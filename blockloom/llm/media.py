@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.llm.common import text_batches
+
 #: Where a format's magic bytes stand, by name.
 MAGIC = {
     "wav": (b"RIFF", 0),
@@ -185,7 +187,7 @@ def sniff(df: DataFrame, media: str = "media", declared: str | None = None) -> D
     Columns of these names in df are replaced.
     """
     names = [c for c in df.columns if c not in ("sniffed", "corrected", "carved")]
-    df = df.select(*names)
+    df = text_batches(df).select(*names)
 
     def run(batches):
         for batch in batches:
@@ -210,7 +212,7 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             raw = [(x or "").encode() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array([to_wav(padded(x)) for x in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    d = text_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 

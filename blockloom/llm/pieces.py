@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import stage
+from blockloom.llm.common import stage, text_batches
 
 MARK = "▁"
 #: Characters to a chunk; longer texts are cut.
@@ -410,7 +410,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", *, name: str = "ids"
     A column called `name` is replaced. A null character or any other is ordinary.
     """
     keep = [c for c in docs.columns if c != name]
-    d = docs.select(*keep)
+    d = text_batches(docs).select(*keep)
     i = keep.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
     fits = F.coalesce(F.char_length(text), F.lit(0)) < chunk
@@ -452,7 +452,7 @@ def digest(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
 
     The same as digests of encode() and decode(); texts of one chunk go through both in one pass.
     """
-    d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    d = text_batches(docs).select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     names = ["doc_id", "n_tokens", "ids_crc32", "decoded_bytes", "decoded_crc32", "exact"]
 
     def short(batches):

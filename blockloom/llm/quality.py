@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import held_out, mix64, spans
+from blockloom.llm.common import held_out, mix64, spans, text_batches
 
 #: Names of the statistics, in the order of their columns.
 FEATURES = ("log_bytes", "log_lines", "word_len", "long_words", "upper", "digit", "symbol", "space_run", "punct", "ascii_letters", "line_upper", "line_symbol", "line_bar", "word_symbol", "word_upper", "repeat_bytes", "short_lines", "vowels", "repeat_words", "repeat_near", "line_repeat")
@@ -209,7 +209,7 @@ def with_statistics(docs: DataFrame, text: str = "text", name: str = "statistics
             yield pa.RecordBatch.from_arrays([*batch.columns, col], names=[*keep, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
-    return d.mapInArrow(run, f"{schema}, `{name}` array<double>")
+    return text_batches(d).mapInArrow(run, f"{schema}, `{name}` array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS, held_mod: int = 4) -> QDA:
@@ -240,4 +240,4 @@ def score(docs: DataFrame, model: QDA, text: str = "text", name: str = "score")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*keep, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
-    return d.mapInArrow(run, f"{schema}, `{name}` double")
+    return text_batches(d).mapInArrow(run, f"{schema}, `{name}` double")

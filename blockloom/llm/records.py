@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import new_path, stage
+from blockloom.llm.common import new_path, stage, text_batches
 
 HEAD = struct.Struct("<QI")
 #: Text bytes to a file, about; a file is written by one task in the order of its keys.
 FILE_TEXT_BYTES = 24 << 20
 #: Words whose ids a worker remembers.
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 600_000
 SEPARATOR = 1
 
 
@@ -167,7 +167,7 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(bucket, pa.int32()), pa.array(np.array(files.deals, np.int32)[bucket])], names=["doc_id", "ids", "bucket", "deal"])
 
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return d.mapInArrow(run, "doc_id long, ids binary, bucket int, deal int")
+    return text_batches(d).mapInArrow(run, "doc_id long, ids binary, bucket int, deal int")
 
 
 class Files(NamedTuple):

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.llm.common import text_batches
+
 VERSION = b"WARC/1.1"
 #: Stands for an unknown fetch time, so that records are the same on every run.
 DATE = "1970-01-01T00:00:00Z"
@@ -117,7 +119,7 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
             out = [response(str(k), u or "", h or "") for k, u, h in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], names=["page_id", "url", "warc"])
 
-    d = pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
+    d = text_batches(pages).select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
     return d.mapInArrow(run, f"page_id {d.schema['page_id'].dataType.simpleString()}, url string, warc binary")
 
 
