@@ -109,14 +109,16 @@ def headers(files: DataFrame) -> DataFrame:
 def decode_candidates(files: DataFrame, candidates: DataFrame) -> DataFrame:
     """(file_id, bit_off, end_bit, part, data, crc, blk_sz, status): every candidate decoded by itself, in parallel.
 
-    A candidate gets the bits up to the next stop, with the whole file's rest behind it only
-    where it has none. A false one has a status that is an error; the chain decides.
+    A candidate gets the bits up to the second stop behind it, or the file's end, so that one
+    false stop inside a block does no harm. A false candidate, or one with more such stops,
+    has a status that is an error; the chain decides, and what it misses is decoded from its
+    known start.
     """
     stops = candidates.groupBy("file_id").agg(F.array_sort(F.collect_set("bit_off")).alias("stops"))
-    at = candidates.where("kind = 'block'").join(stops, "file_id").withColumn("stop", F.get(F.filter("stops", lambda s: s > F.col("bit_off")), F.lit(0)))
-    at = at.select("file_id", "bit_off", F.coalesce("stop", F.lit(-1)).alias("stop"))
+    at = candidates.where("kind = 'block'").join(stops, "file_id").withColumn("next", F.filter("stops", lambda s: s > F.col("bit_off")))
+    at = at.select("file_id", "bit_off", F.coalesce(F.get("next", F.lit(0)), F.lit(-1)).alias("stop"), F.coalesce(F.get("next", F.lit(1)), F.lit(-1)).alias("second"))
     first = F.floor(F.col("bit_off") / 8)
-    last = F.when(F.col("stop") < 0, F.octet_length("content")).otherwise(F.ceil(F.col("stop") / 8) + 8)
+    last = F.when(F.col("second") < 0, F.octet_length("content")).otherwise(F.ceil(F.col("second") / 8) + 8)
     cut = files.join(at, "file_id").select(F.struct("file_id", "bit_off", "stop").alias("key"), F.substring("content", (first + 1).cast("int"), (last - first).cast("int")).alias("content"))
 
     def make(key, data: bytes):

@@ -77,18 +77,22 @@ LENGTHS = f"{FREQ}, tot AS (SELECT k, sum(n) AS total FROM f GROUP BY k), ln AS
 
 # --- names, sizes, signatures, chunks
 
-_NAMES = F.concat("url", F.get(F.array(*map(F.lit, (".bz2", ".tbz2", ".tbz", ".tz2", ".txt", ""))), F.col("page_id") % 6))
+
+def _names():
+    return F.concat("url", F.get(F.array(*map(F.lit, (".bz2", ".tbz2", ".tbz", ".tz2", ".txt", ""))), F.col("page_id") % 6))
+
+
 _NAMES_SQL = "url || ['.bz2', '.tbz2', '.tbz', '.tz2', '.txt', ''][page_id % 6 + 1]"
 
 
 @query(f"SELECT page_id, CASE WHEN page_id % 6 = 0 THEN url WHEN page_id % 6 < 4 THEN url || '.tar' ELSE n || '.out' END AS output FROM (SELECT page_id, url, {_NAMES_SQL} AS n FROM pages)")
 def suffix_map(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", E.output_name(_NAMES).alias("output"))
+    return _t(spark, sf, "pages").select("page_id", E.output_name(_names()).alias("output"))
 
 
 @query(f"SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'not a regular file' WHEN page_id % 3 > 1 THEN 'more than one links' WHEN page_id % 6 < 4 THEN 'compressed suffix' END AS skip FROM (SELECT page_id, {_NAMES_SQL} AS n FROM pages)")
 def operand_skips(spark, sf):
-    manifest = _t(spark, sf, "pages").select("page_id", _NAMES.alias("name"), (F.col("page_id") % 5 != 0).alias("regular"), (F.col("page_id") % 3).alias("links"))
+    manifest = _t(spark, sf, "pages").select("page_id", _names().alias("name"), (F.col("page_id") % 5 != 0).alias("regular"), (F.col("page_id") % 3).alias("links"))
     return operands(manifest).select("page_id", "skip")
 
 
