@@ -104,6 +104,7 @@ def _statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     same[1:] = (flat[1:] == flat[:-1]) & ~space[1:] & (kind[1:] != _LOW)
     gap = np.zeros(len(flat), bool)
     gap[1:] = space[1:] & space[:-1]
+    gap[start] = False
     lines = np.bincount(line_doc, minlength=n)
     out = np.column_stack([
         np.log1p(size), np.log(np.maximum(lines, 1)), share(per(length), n_words), share(per(length > 14), n_words), share(n_up, letters), share(total(kind == _DIGIT), size), share(n_symbol, size), share(total(gap), size), share(total(kind == _PUNCT), size), share(n_low + n_up, letters),
