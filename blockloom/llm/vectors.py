@@ -103,14 +103,16 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf)) & F.exists("v", lambda x: x != 0)
     good = rows.where("v is not null").where(finite)
     size = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    d = size["d"] if size else 0
+    if size is None:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    d = size["d"]
     good = good.where(F.size("v") == d)
     classes = stage(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("node", F.monotonically_increasing_id()), "vectors-classes")
     some = classes.orderBy(F.xxhash64("v"), "node").limit(sample).select("v").toPandas()["v"]
-    vectors = unit(np.stack(some.to_list())) if len(some) else np.zeros((0, d))
-    rotation = axes(vectors) if len(some) else np.eye(max(d, 1))
+    vectors = unit(np.stack(some.to_list()))
+    rotation = axes(vectors)
     n = classes.count()
-    lead = np.sort(vectors @ rotation[:, 0]) if len(some) else np.zeros(0)
+    lead = np.sort(vectors @ rotation[:, 0])
     n_ranges = max(1, math.ceil(n / tile))
     bounds = [float(x) for x in (np.quantile(lead, np.arange(1, n_ranges) / n_ranges) if n_ranges > 1 else [])]
     box = min(BOX, d)
@@ -132,9 +134,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     gap = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
     # Tiles meet through cells of the leading coordinate as wide as the gap, then their boxes decide.
     cell = lambda c: F.floor(F.col(c) / gap)
-    a = boxes.withColumn("cell", F.explode(F.sequence(cell("lo0"), cell("hi0")))) if box else boxes.withColumn("cell", F.lit(0))
+    a = boxes.withColumn("cell", F.explode(F.sequence(cell("lo0"), cell("hi0"))))
     b = boxes.select(*[F.col(c).alias("b_" + c) for c in boxes.columns])
-    b = b.withColumn("cell", F.explode(F.sequence(cell("b_lo0") - 1, cell("b_hi0") + 1))) if box else b.withColumn("cell", F.lit(0))
+    b = b.withColumn("cell", F.explode(F.sequence(cell("b_lo0") - 1, cell("b_hi0") + 1)))
     apart = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"b_lo{k}") - F.col(f"hi{k}"), F.col(f"lo{k}") - F.col(f"b_hi{k}")), F.lit(2)) for k in range(box)), F.lit(0.0))
     pairs = a.join(b, "cell").where("tile <= b_tile").where(apart <= gap * gap).select(F.col("tile").alias("i"), F.col("b_tile").alias("j")).distinct()
     pairs = stage(pairs, "vectors-pairs")
