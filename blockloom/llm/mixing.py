@@ -29,12 +29,13 @@ def targets(sizes: DataFrame, max_repeat: float = 3.0, weights: tuple[int, ...]
     by_name = W.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
     pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
     s = sizes.withColumn("weight", pick).withColumn("cap", F.lit(float(max_repeat)) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    before = W.orderBy("ratio", F.col("source").isNull(), "source").rowsBetween(W.unboundedPreceding, -1)
+    by_ratio = W.orderBy("ratio", F.col("source").isNull(), "source")
+    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
     every = W.partitionBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     s = s.withColumns({"total": F.sum("source_size").over(every).cast("double"), "weights": F.sum("weight").over(every), "full": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "full_w": F.coalesce(F.sum("weight").over(before), F.lit(0.0))})
     # The level, were exactly the sources before this one at their cap; the first that holds is the true one.
     s = s.withColumn("level", (F.col("total") - F.col("full")) / (F.col("weights") - F.col("full_w")))
-    s = s.withColumn("level", F.min_by("level", F.when(F.col("level") <= F.col("ratio"), F.col("ratio"))).over(every))
+    s = s.withColumn("no", F.row_number().over(by_ratio)).withColumn("level", F.min_by("level", F.when(F.col("level") <= F.col("ratio"), F.col("no"))).over(every))
     return s.select("source", "source_size", "weight", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
