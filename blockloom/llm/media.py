@@ -233,7 +233,9 @@ def digest(media: DataFrame) -> DataFrame:
                 payload = wav_samples(m) if kind == "wav" else b""
                 s = np.frombuffer(payload, np.uint8)
                 high = s >= 128
-                feature = f"{kind}:{len(s)}:{s.mean():.6f}:{s.var():.6f}:{int((high[1:] != high[:-1]).sum())}:{len(found) - 1}"
+                k, total, squares = len(s), int(s.sum(dtype=np.int64)), int((s.astype(np.int64) ** 2).sum())
+                mean, variance = (total / k, (k * squares - total * total) / (k * k)) if k else (0.0, 0.0)
+                feature = f"{kind}:{k}:{mean:.6f}:{variance:.6f}:{int((high[1:] != high[:-1]).sum())}:{len(found) - 1}"
                 rows.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature, kind, fixed))
             cols = list(zip(*rows, strict=True)) or [()] * 10
             kinds = [batch.schema.field(i["doc_id"]).type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]

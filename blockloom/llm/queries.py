@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockloom.llm.oracles import ORACLES  # noqa: F401  the entry reads it here
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -79,4 +81,3 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_lm_score, op2_quality, op3_token_records, op4_html_text, op5_near_vectors, op6_sentencepiece, op7_mixing, op8_warc_derivatives, op9_media, op10_jaccard_join)}
-ORACLES: dict[str, str] = {}
