@@ -34,8 +34,8 @@ from blockloom.llm.common import new_path, stage, text_batches
 HEAD = struct.Struct("<QI")
 #: Text bytes to a file, about; a file is written by one task in the order of its keys.
 FILE_TEXT_BYTES = 24 << 20
-#: Words whose ids a worker remembers.
-CACHED_WORDS = 600_000
+#: Words whose ids a worker remembers, twice so many at most.
+CACHED_WORDS = 300_000
 SEPARATOR = 1
 
 
@@ -102,7 +102,7 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        _loaded[path] = tok, _plain(tok), {}
+        _loaded[path] = tok, _plain(tok), []
     return _loaded[path]
 
 
@@ -111,30 +111,35 @@ def encode_words(texts: list[str], path: str) -> list[np.ndarray]:
 
     Exact for tokenizers that lower case, whose pre-tokenizer drops white space, never
     matches across it and parts letters from punctuation: their ids of a text are those of
-    its white-space-separated words in turn.
+    its white-space-separated words in turn. Remembered words are in two generations; the
+    older one goes when the newer is full.
     """
-    tok, plain, cache = _tokenizer(path)
-    split = [t.encode().split() for t in texts]  # bytes split at ASCII white space only
-    fresh = set()
-    for ws in split:
-        fresh.update(ws)
-    fresh = {w for w in fresh if w not in cache}
-    if len(cache) + len(fresh) > CACHED_WORDS:
-        cache.clear()
-        fresh = {w for ws in split for w in ws}
-    slow = []
-    for w in fresh:
-        stem = w.rstrip(_TRAILING)
-        ids = plain((stem.lower() if stem.isascii() else stem).decode()) if stem else None
-        end = b"" if ids is None or len(stem) == len(w) else _punctuation(tok, w[len(stem) :])
+    tok, plain, caches = _tokenizer(path)
+    if not caches:
+        caches += [{}, {}]
+
+    def miss(w: bytes) -> bytes:
+        ids = caches[1].get(w)
         if ids is None:
-            slow.append(w)
-        else:
-            cache[w] = array("I", ids).tobytes() + end
-    for w, e in zip(slow, tok.encode_batch([w.decode() for w in slow], add_special_tokens=False), strict=True):
-        cache[w] = array("I", e.ids).tobytes()
-    get = cache.__getitem__
-    return [np.frombuffer(b"".join(map(get, ws)), np.uint32) for ws in split]
+            ids = _word(tok, plain, w)
+        if len(caches[0]) >= CACHED_WORDS:
+            caches[:] = [{}, caches[0]]
+        caches[0][w] = ids
+        return ids
+
+    out = []
+    for t in texts:
+        known = caches[0].get
+        out.append(np.frombuffer(b"".join([known(w) or miss(w) for w in t.encode().split()]), np.uint32))  # bytes split at ASCII white space only
+    return out
+
+
+def _word(tok, plain, w: bytes) -> bytes:
+    stem = w.rstrip(_TRAILING)
+    ids = plain((stem.lower() if stem.isascii() else stem).decode()) if stem else None
+    if ids is None:
+        return array("I", tok.encode(w.decode(), add_special_tokens=False).ids).tobytes()
+    return array("I", ids).tobytes() + (b"" if len(stem) == len(w) else _punctuation(tok, w[len(stem) :]))
 
 
 _ends: dict[tuple[int, bytes], bytes] = {}
