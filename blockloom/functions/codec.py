@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from blockloom.functions import bits
-from blockloom.schema import CODE
+from blockloom.schema import CODE, ERRORS
 
 RUN = 259  # bytes that 4 equal ones and their count byte stand for at most
 GROUP = 50
@@ -348,7 +348,14 @@ def assemble(level: int, blocks: list[tuple[bytes, int, int]]) -> bytes:
     return w.done()
 
 
+def fits_one_block(n: int, level: int) -> bool:
+    """Whether n raw bytes are one block of the library for sure: run-length coding adds a quarter at most."""
+    return n + n // 4 + 1 + SPARE <= level * 100_000
+
+
 def compress(raw: bytes, level: int = 9, split: str = "parallel", engine: str = "library") -> bytes:
+    if engine == "library" and fits_one_block(len(raw), level):
+        return bz2.compress(raw, level)  # one block: the library's stream is the one assembled here
     cuts = split_parallel(raw, level) if split == "parallel" else split_sequential(raw, level * 100_000)
     return assemble(level, [encode_block(raw[a:b], engine)[:3] for _, _, a, b in cuts])
 
@@ -485,7 +492,15 @@ def isolate(data: bytes, at: int, end: int) -> bytes:
     return w.done()
 
 
-def decode_block(data: bytes, at: int, level: int = 9, stop: int | None = None) -> Block:
+def _shape(r: _Reader, b: Block) -> None:
+    """The fixed fields of a block's header, without its selectors and trees."""
+    b.randomised, b.bwt_idx = bool(r.get(1)), r.get(24)
+    big = r.get(16)
+    b.n_used = sum(bin(r.get(16)).count("1") for _ in range(bin(big).count("1")))
+    b.n_trees, b.n_selectors = r.get(3), r.get(15)
+
+
+def decode_block(data: bytes, at: int, level: int = 9, stop: int | None = None, sizes: bool = True) -> Block:
     """Reads the block whose magic is at bit `at`; never raises, the outcome is its status.
 
     With `stop`, where the next magic is thought to be, the library gets the bits first, which
@@ -496,17 +511,17 @@ def decode_block(data: bytes, at: int, level: int = 9, stop: int | None = None)
     try:
         r.get(32)
         if stop is not None:
-            used, trees, select = _fields(r, b)
             try:
                 plain = bz2.decompress(isolate(data, at, stop))
-                b.data, b.end_bit, b.size, b.crc = plain, stop, len(rle_encode(plain)), b.stored_crc
+                _shape(r, b)
+                b.data, b.end_bit, b.crc = plain, stop, b.stored_crc
+                b.size = len(rle_encode(plain)) if not fits_one_block(len(plain), level) or sizes else 0
                 if b.size > level * 100_000:
                     b.status = CODE["ERR_OVERFLOW"]
                 return b
             except (OSError, ValueError, EOFError):
-                last = _symbols(r, b, used, trees, select)
-        else:
-            last = _symbols(r, b, *_fields(r, b))
+                r.at = at + 80
+        last = _symbols(r, b, *_fields(r, b))
         b.end_bit, b.size = r.at, len(last)
         if b.bwt_idx >= len(last):
             raise Broken("ERR_BWTIDX")
@@ -537,11 +552,12 @@ class Stream:
     computed_crc: int
 
 
-def walk(data: bytes, stops: list[int] | None = None) -> tuple[int, list[Stream]]:
+def walk(data: bytes, stops: list[int] | None = None, sizes: bool = True) -> tuple[int, list[Stream]]:
     """(status, streams) of a file: the parser's chain of blocks, streams back to back.
 
     What follows a stream and is no header ends the file cleanly, a bare "BZ" too. Status is
-    -1 for a file that does not begin as a stream, else that of the first error.
+    -1 for a file that does not begin as a stream, else that of the first error. Without
+    `sizes` a block's size after run-length coding is 0 where it is small for sure.
     """
     if len(data) < 4 or data[:3] != b"BZh" or not b"1" <= data[3:4] <= b"9":
         return -1, []
@@ -574,18 +590,34 @@ def walk(data: bytes, stops: list[int] | None = None) -> tuple[int, list[Stream]
             if magic != bits.BLOCK_MAGIC:
                 return CODE["ERR_HEADER"], streams
             i = int(np.searchsorted(stops, at, "right"))
-            b = decode_block(data, at, s.level, stops[i] if i < len(stops) else None)
+            b = decode_block(data, at, s.level, stops[i] if i < len(stops) else None, sizes)
             s.blocks.append(b)
             if b.status:
                 return b.status, streams
             at = b.end_bit
 
 
+def unpack(data: bytes) -> tuple[int, list[bytes]]:
+    """(status, plain bytes of each stream). The library reads whole streams first; where it objects, walk() names the error."""
+    out, rest = [], data
+    try:
+        while len(rest) >= 4 and rest[:3] == b"BZh" and b"1" <= rest[3:4] <= b"9":
+            d = bz2.BZ2Decompressor()
+            out.append(d.decompress(rest))
+            if not d.eof:
+                raise EOFError
+            rest = d.unused_data
+        if out and rest[:3] != b"BZh":
+            return 0, out
+    except (OSError, ValueError, EOFError):
+        pass
+    status, streams = walk(data, sizes=False)
+    return status, [] if status else [b"".join(b.data for b in s.blocks) for s in streams]
+
+
 def decompress(data: bytes) -> bytes:
     """Plain bytes; ValueError with the error's message otherwise."""
-    status, streams = walk(data)
+    status, plain = unpack(data)
     if status:
-        from blockloom.schema import ERRORS
-
         raise ValueError(next((m for c, _, m in ERRORS if c == status), "not a valid compressed file"))
-    return b"".join(b.data for s in streams for b in s.blocks)
+    return b"".join(plain)

@@ -18,10 +18,17 @@ from blockloom.functions import codec
 from blockloom.functions import expressions as E
 
 
+def spread(df: DataFrame, target: int = 128 << 20) -> DataFrame:
+    """Deals out a table that is too small to keep all cores busy by its files alone; a large one stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(2 * cores) if size < cores * target else df
+
+
 def as_files(df: DataFrame, key: str, content: str) -> DataFrame:
     """(file_id, content) of a table whose column holds text or bytes."""
     c = F.coalesce(F.col(content).cast("binary"), F.lit(b""))
-    return df.select(F.col(key).alias("file_id"), c.alias("content"))
+    return spread(df.select(F.col(key).alias("file_id"), c.alias("content")))
 
 
 def per_file(files: DataFrame, schema: str, make: Callable[[bytes], Iterable[tuple]], batch_rows: int = 4096) -> DataFrame:

@@ -67,6 +67,8 @@ def compress(files: DataFrame, level: int = 9, split: str = "parallel", engine:
 
 
 def _small(data: bytes, level: int, split: str, engine: str) -> tuple[bytes, int]:
+    if engine == "library" and codec.fits_one_block(len(data), level):
+        return codec.compress(data, level), int(bool(data))
     cuts = codec.split_parallel(data, level) if split == "parallel" else codec.split_sequential(data, level * 100_000)
     return codec.assemble(level, [codec.encode_block(data[a:b], engine)[:3] for _, _, a, b in cuts]), len(cuts)
 
@@ -154,16 +156,15 @@ def decompress(files: DataFrame) -> DataFrame:
     """(file_id, part, data, status): plain parts in order of part; a bad file has one row with its error and no data."""
 
     def make(data: bytes):
-        status, streams = codec.walk(data)
+        status, plain = codec.unpack(data)
         if status:
             yield 0, None, status
             return
         part = 0
-        for s in streams:
-            for b in s.blocks:
-                for lo in range(0, len(b.data), PART):
-                    yield part, b.data[lo : lo + PART], 0
-                    part += 1
+        for s in plain:
+            for lo in range(0, len(s), PART):
+                yield part, s[lo : lo + PART], 0
+                part += 1
         if not part:
             yield 0, b"", 0
 
@@ -181,7 +182,7 @@ def verify(files: DataFrame) -> DataFrame:
     """(file_id, n_streams, n_blocks, plain_bytes, status, name, message): decodes and checks, keeps no output."""
 
     def make(data: bytes):
-        status, streams = codec.walk(data)
+        status, streams = codec.walk(data, sizes=False)
         blocks = [b for s in streams for b in s.blocks]
         yield len(streams), len(blocks), sum(len(b.data) for b in blocks), status
 

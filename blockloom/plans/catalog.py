@@ -173,7 +173,7 @@ def used_bitmap(spark, sf):
 
 @query(f"WITH {CRCS} SELECT doc_id, crc::BIGINT AS crc FROM c")
 def block_crc(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", E.block_crc(F.col("text").cast("binary")).alias("crc"))
+    return _docs(spark, sf).select(F.col("file_id").alias("doc_id"), E.block_crc(F.col("content")).alias("crc"))
 
 
 _FOLD = "list_reduce(list(crc ORDER BY doc_id), lambda a, x: xor(((a << 1) & 4294967295) | (a >> 31), x), 0::BIGINT)"
@@ -181,13 +181,13 @@ _FOLD = "list_reduce(list(crc ORDER BY doc_id), lambda a, x: xor(((a << 1) & 429
 
 @query(f"WITH {CRCS} SELECT lang, count(*) AS n_blocks, ({_FOLD})::BIGINT AS stream_crc FROM c GROUP BY lang")
 def stream_crc(spark, sf):
-    crcs = _t(spark, sf, "documents").select("lang", "doc_id", E.block_crc(F.col("text").cast("binary")).alias("crc"))
+    crcs = C.spread(_t(spark, sf, "documents").select("lang", "doc_id", "text")).select("lang", "doc_id", E.block_crc(F.col("text").cast("binary")).alias("crc"))
     return J.stream_crcs(crcs, ["lang"], "doc_id")
 
 
 @query(f"WITH {CRCS}, s AS (SELECT source, ({_FOLD})::BIGINT AS x, 1 + count(*) % 9 AS level FROM c GROUP BY source) SELECT source, printf('425A683%d', level) AS header, printf('177245385090%08X', x) AS trailer FROM s")
 def stream_frame(spark, sf):
-    crcs = _t(spark, sf, "documents").select("source", "doc_id", E.block_crc(F.col("text").cast("binary")).alias("crc"))
+    crcs = C.spread(_t(spark, sf, "documents").select("source", "doc_id", "text")).select("source", "doc_id", E.block_crc(F.col("text").cast("binary")).alias("crc"))
     s = J.stream_crcs(crcs, ["source"], "doc_id")
     return s.select("source", F.hex(E.stream_header(1 + F.col("n_blocks") % 9)).alias("header"), F.hex(E.stream_trailer(F.col("stream_crc"))).alias("trailer"))
 
@@ -469,11 +469,11 @@ def compression_stats(spark, sf):
 @query("SELECT source, count(*) AS n_docs, sum(octet_length(encode(text)))::BIGINT AS plain_bytes, count(*) FILTER (WHERE text <> '') AS n_blocks, true AS crc_ok, true AS text_equal FROM documents GROUP BY source")
 def verified_sources(spark, sf):
     """Compress, parse, decode, check and compare every document; metrics by source."""
-    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "source", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    d = C.spread(_t(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "source", F.coalesce("text", F.lit("")).cast("binary").alias("content")))
 
     def make(data: bytes):
         packed = codec.compress(data)
-        status, streams = codec.walk(packed)
+        status, streams = codec.walk(packed, sizes=False)
         blocks = [b for s in streams for b in s.blocks]
         yield len(packed), len(blocks), status == 0 and all(b.crc == b.stored_crc for b in blocks), b"".join(b.data for b in blocks) == data
 
