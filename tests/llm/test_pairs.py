@@ -92,10 +92,18 @@ def test_jaccard_odd_rows(odd):
 
 
 def test_prefix_length_meets_recall():
-    for target in (0.5, 0.9, 0.999, 0.9999):
-        k = jaccard.prefix_length(16, 4, 0.8, target)
-        assert 1 - (1 - 0.8**k) ** 16 >= target
-        assert k == 4 or 1 - (1 - 0.8 ** (k + 1)) ** 16 < target
+    for target in (0.5, 0.9, 0.999, 0.99999):
+        k = jaccard.prefix_length(32, 6, 0.8, target)
+        assert 1 - (1 - 0.8**k) ** 32 >= target
+        assert k == 6 or 1 - (1 - 0.8 ** (k + 1)) ** 32 < target
+
+
+def test_minima_agree_as_often_as_sets_overlap():
+    r = np.random.default_rng(2)
+    mul, add = jaccard._params(400)
+    x = r.integers(0, 1 << 63, 900).astype(np.uint64)
+    same = np.mean(jaccard.minima(x[:800], mul, add) == jaccard.minima(x[100:], mul, add))
+    assert abs(same - 700 / 900) < 0.07
 
 
 def test_vectors_equal_all_pairs(spark):
