@@ -164,6 +164,8 @@ def test_markup():
     assert text_of("<article><header><h1>Title</h1></header><p>a &amp; b&nbsp; c &#8364; &copy</p><p class='ad-box'>buy</p><p>d<i>e</i>f<br>g<aside>no</aside><footer>no</footer></article><p>no") == ["Title", "a & b c € ©", "def", "g"]
     assert text_of("<main><nav><ul><li>x</nav><ul><li>one<li>two</ul><table><tr><td>1<td>2<tr><td>3</table><form>f</form><script>if (a<b) '</p>'</script><!-- <p>c</p> --><pre> z \n z</pre></main>") == ["one", "two", "1 2", "3", "z z"]
     assert text_of("<article>5 < 6 and 7 <b>8</b><div class=comments><article>hi</article></div><div hidden>h</div><div style='display: none'>n</div>end") == ["5 < 6 and 7 8", "end"]
+    assert [t for k, t in pages.blocks("<div class='site-header'>Site</div><div id=masthead>x</div><div class=body>y</div>") if k == pages.OPEN] == ["y"]
+    assert text_of("<article><div class='entry-header'><h1>T</h1></div>z</article>") == ["T", "z"]
     assert pages.blocks(None) == pages.blocks("") == [] and text_of("<article><p>cut &am") == ["cut &am"]
 
 
