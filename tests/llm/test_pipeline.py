@@ -39,3 +39,16 @@ def test_stages(spark, stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, stages[-1].collect()))
+
+
+def test_stages_on_odd_rows(spark, odd):
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, odd, SF)
+        rows = out.collect()
+        assert step(spark, odd.where("false"), SF).count() == 0, name
+        if name != "SentencePiece":
+            assert sorted(out.columns) == sorted(corpus_pipeline.COLUMNS)
+        if name == "n-gram Jaccard join":
+            assert len(rows) == 10
+        if name == "SentencePiece":
+            assert len(rows) == odd.count()
