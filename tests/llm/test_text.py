@@ -179,6 +179,23 @@ def test_repeats_without_a_main_element(spark):
     assert out[100].text == shared and out[100].n_repeated == 0
 
 
+def test_copies_and_quotations_without_a_main_element_stay(spark):
+    r = random.Random(4)
+    prose = lambda n: " ".join(r.choice(("ka", "lo", "mi", "nu", "re")) + str(r.randint(0, 9999)) for _ in range(n))
+    menu, quote, small = prose(12), prose(20), ["Home", "About us", "Our contact data"]
+    article = [prose(40) for _ in range(5)]
+    bodies = [[*article, f"read {i} times"] for i in range(5)]  # near copies, as of ?utm_source=
+    bodies += [article, article]
+    bodies += [[prose(60), f"{prose(9)} {quote} {prose(9)}", *([quote] if i < 2 else [])] for i in range(8)]
+    page = lambda parts: "<body>" + "".join(f"<div>{x}</div>" for x in (menu, *small, *parts)) + "</body>"
+    rows = [(i, f"http://h.example/a?utm_source={i}", page(b)) for i, b in enumerate(bodies)]
+    rows += [(90 + i, f"http://two.example/?page={i}", page(article)) for i in range(2)]
+    out = {x.page_id: x.text for x in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, b in enumerate(bodies):
+        assert out[i] == "\n".join(b)
+    assert out[90] == out[91] == "\n".join([menu, *small, *article])
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, None, None, 1), (2, "u", "", 2), (None, "http://x/", "<article>a</article>", 3), (3, "http://x/", "<article>a</article>", 3), (3, "http://x/", "<article>a</article>", 3), (4, "not a url", "<p>" + "long words " * 20_000, 4), (5, "http://x/", "<" * 500 + "article a='", 5)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string, page int").withColumns({"host": F.lit(1), "blocks": F.lit(2), "at": F.lit(3)})
