@@ -169,6 +169,21 @@ def test_markup():
     assert pages.blocks(None) == pages.blocks("") == [] and text_of("<article><p>cut &am") == ["cut &am"]
 
 
+@pytest.mark.parametrize("odd", ["<svg width='1'/>", "<svg viewBox='0 0 1 1'><path d=''/></svg>", "<svg><svg/><text>n</text></svg>", "<datalist id=x><option value=1><option>n</datalist>", "<select><option>n<option>n</select>", "<video-player src=x></video-player>", "<title-bar></title-bar>", "<video src=x>", "<object data=x>", "<iframe src=x>", "<iframe src=x />", "<script src='x'/>", "<audio src=x><p>n</audio>", "<option>n<option>n", "<noscript><p>n</p></noscript>"])
+def test_markup_that_hides_no_more_than_itself(odd):
+    body = f"<p>one</p>{odd}<p>two</p><p>three <b>four</b></p><video>n</video>"
+    assert text_of(f"<article>{body}</article><svg></svg><iframe></iframe>") == ["one", "two", "three four"]
+    assert [t for k, t in pages.blocks(f"<div>{body}</div>")] == ["one", "two", "three four"]
+
+
+def test_names_are_whole():
+    for kept in ("<h2 id=related-work>x</h2>", "<section id=social-policy>x</section>", "<p id=notice-period>x</p>", "<h2 id=comments>x</h2>", "<div class=market-share>x</div>", "<div class='no-sidebar'>x</div>", "<div class=section id=related>x</div>", "<p class='legal-notice-text'>x</p>"):
+        assert text_of(f"<article>{kept}<p>y</p></article>") == ["x", "y"], kept
+    for gone in ("<div class='big ad-box'>x</div>", "<div class=related-posts>x</div>", "<ul class=social_share>x</ul>", "<div id=comments>x</div>", "<div class=widget-12>x</div>", "<section class=comments-area>x</section>", "<div class='cookie-notice'>x</div>", "<div class=wp-sidebar>x</div>"):
+        assert text_of(f"<article>{gone}<p>y</p></article>") == ["y"], gone
+    assert text_of("<article><p>a<object><article><p>n</article></object>b<video></article>c</video>") == ["ab"]
+
+
 def test_repeats_without_a_main_element(spark):
     shared = "this line of many words stands on every page of the host"
     rows = [(i, f"http://h{i % 2}.example/{i}", f"<body><div>{shared}</div><div>unique{i} words {i} of page {i} here</div><nav>menu {i}</nav></body>") for i in range(8)]
