@@ -220,10 +220,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", *, n: int = 5
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One document of each group: rows whose key is its component's least, once per key.
+    """One row of each group, the one of least key; of those rows any one, as keys may repeat.
 
-    Rows without words or without a key stay.
+    Rows without words or without a key stay. Rows are told apart by ids of their own, not by key.
     """
-    groups = join(docs, key, text, **how).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(groups, docs[key].cast("long") == groups["_gone"], "left_anti")
-    return kept
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
+    keys = F.col(key).cast("long")
+    linked = join(rows.select("_row", F.when(keys.isNotNull(), F.col(text)).alias("text")), "_row", "text", **how)
+    linked = stage(linked.where("n_links > 0").select(F.col("doc_id").alias("_row"), "component_id"), "jaccard-groups")
+    named = linked.join(rows.select("_row", keys.alias("_key")), "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct("_key", "_row")).alias("first"))
+    gone = linked.join(first, "component_id").where("_row <> first._row").select("_row")
+    return rows.join(gone, "_row", "left_anti").drop("_row")

@@ -39,7 +39,7 @@ def targets(sizes: DataFrame, max_repeat: float = 3.0, weights: tuple[int, ...]
     return s.select("source", "source_size", "weight", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", *, block_words: int = 128, max_repeat: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", *, block_words: int = 128, max_repeat: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, row: str | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source): what the mix takes of each document.
 
     The words of a source, its documents in hash order, are cut into equal blocks of about
@@ -50,10 +50,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     Null text: size 0. Null source: a source of its own, last. Null or repeated keys: each
     row counts by itself. Documents without words, and so sources without any, take 0.
-    Equal rows are told apart by nothing and may swap. Empty table: no rows.
+    Equal rows are told apart by nothing and may swap. Empty table: no rows. A column of distinct
+    long ids named by `row` is kept as the last one, by which counts join the rows they are of.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.xxhash64(F.col(text))).alias("h"))
+    d = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.xxhash64(F.col(text))).alias("h"), *([F.col(row).alias("row")] if row else []))
     d = stage(d, "mix-docs")
     plan = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeat, weights)
     blocks = F.ceil(F.col("source_size") / F.lit(float(block_words)))
@@ -72,7 +73,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     d = d.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0))).join(per_shard, ["sid", "shard"]).withColumn("lo", F.col("at") + F.col("base")).withColumn("hi", F.col("lo") + F.col("size"))
     first = lambda pos: F.floor((pos * F.col("n_blocks")) / F.col("source_size")).cast("long")
     edge = lambda j: F.ceil(j * F.col("source_size") / F.col("n_blocks")).cast("long")
-    d = d.withColumn("row", F.monotonically_increasing_id())
+    if row is None:
+        d = d.withColumn("row", F.monotonically_increasing_id())
     d = stage(d.select("row", "doc_id", "source", "sid", "size", "source_size", "target", "n_blocks", "lo", "hi"), "mix-rows")
     pieces = d.where("size > 0").withColumn("block", F.explode(F.sequence(F.greatest(first(F.col("lo")) - 1, F.lit(0)), F.least(first(F.col("hi") - 1) + 1, F.col("n_blocks") - 1))))
     pieces = pieces.withColumn("words", F.least("hi", edge(F.col("block") + 1)) - F.greatest("lo", edge(F.col("block")))).where("words > 0").select("row", "sid", "block", "words")
@@ -93,5 +95,5 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     taken = pieces.join(repeats, ["sid", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = d.join(taken, "row", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", *([F.col("row").alias(row)] if row else []))
 

@@ -27,7 +27,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one of least id, of each group linked at Jaccard 0.8 on five words."""
+    """Keeps one row, the one of least id, of each group linked at Jaccard 0.8 on five words."""
     return jaccard.keep_first(docs.select(*COLUMNS))
 
 
@@ -35,13 +35,14 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents by their share in the mix.
 
     A document of which the mix takes x times its words comes floor(x + u) times, u being a
-    number from its hash: a whole document where the mix cuts one, right on average.
+    number from its id's hash: a whole document where the mix cuts one, right on average (from its
+    text's without an id). Rows of one id or none count by themselves.
     """
-    docs = docs.select(*COLUMNS)
-    shares = mixing.mix(docs).where("size > 0").select(F.col("doc_id").alias("k"), (F.col("taken") / F.col("size")).alias("x"))
-    u = F.pmod(F.xxhash64(F.lit("mix"), "k"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    times = shares.groupBy("k").agg(F.avg("x").alias("x")).select("k", F.floor(F.col("x") + u).cast("int").alias("times")).where("times > 0")
-    kept = docs.join(times, docs["doc_id"] == times["k"])
+    docs = stage(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    shares = mixing.mix(docs, row="_row").where("taken > 0").select("_row", (F.col("taken") / F.col("size")).alias("x"))
+    drawn = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit("mix"), "doc_id")), F.xxhash64(F.lit("mix"), "text"))
+    u = F.pmod(drawn, F.lit(1 << 20)) / F.lit(float(1 << 20))
+    kept = docs.join(shares, "_row").withColumn("times", F.floor(F.col("x") + u).cast("int")).where("times > 0")
     return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 

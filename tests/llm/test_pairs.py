@@ -91,6 +91,13 @@ def test_jaccard_odd_rows(odd):
     assert jaccard.join(odd.where("false")).count() == 0
 
 
+def test_keep_first_keeps_a_row_of_each_group(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    d = spark.createDataFrame([(5, a), (9, a), (1, b), (5, b), (3, "z"), (3, "z"), (None, a), (None, a)], "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_first(d).collect()]
+    assert sorted(kept, key=str) == sorted([(5, a), (1, b), (3, "z"), (None, a), (None, a)], key=str)
+
+
 def test_prefix_length_meets_recall():
     for target in (0.5, 0.9, 0.999, 0.99999):
         k = jaccard.prefix_length(32, 6, 0.8, target)

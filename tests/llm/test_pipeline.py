@@ -41,6 +41,20 @@ def test_run_gives_the_last_stage(spark, stages):
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, stages[-1].collect()))
 
 
+def test_mix_repeats_rows_not_keys(spark):
+    words = " ".join(["word"] * 1280)
+    rows = [(None, words, "en", "c", 1), (None, words + " other", "en", "c", 1), (1, words + " long", "en", "a", 1), (1, "short", "en", "a", 1), (2, words + " " + words, "en", "b", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.source_mix(spark, d, SF).collect())
+    taken = {}
+    for r in corpus_pipeline.mixing.mix(d).where("size > 0").collect():
+        taken.setdefault((r.doc_id, r["size"]), r.taken / r["size"])
+    for k, text, *_ in rows:
+        x = taken[k, len(text.split())]
+        assert int(x) <= got[k, text] <= int(x) + 1
+    assert all(got[None, text] >= 1 for k, text, *_ in rows if k is None)
+
+
 def test_stages_on_odd_rows(spark, odd):
     for name, step in corpus_pipeline.STAGES:
         out = step(spark, odd, SF)
