@@ -94,19 +94,28 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 
     n_links: other rows whose cosine, in double precision, is >= threshold. component_id:
     least key reachable by links. kept: key = component_id. Vectors that are null, empty,
-    zero, hold null or non-finite components or are not of the commonest length (the longer
-    among equals) link with nothing. Equal vectors are compared once, as one class. Rows of
+    zero or hold null or non-finite components link with nothing. Vectors of each length are
+    compared by themselves, with axes and tiles of their own. Equal vectors are compared once, as one class. Rows of
     one key are rows by themselves; null keys may link but never name a component. The
     threshold must be above 0. Extra columns are left out.
     """
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"))
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf)) & F.exists("v", lambda x: x != 0)
     good = rows.where("v is not null").where(finite)
-    size = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    if size is None:
+    sizes = sorted(r.d for r in good.select(F.size("v").alias("d")).distinct().collect())
+    if not sizes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    d = size["d"]
-    good = good.where(F.size("v") == d)
+    per_class = None
+    for d in sizes:
+        linked = _linked(good.where(F.size("v") == d), d, threshold, tile, sample)
+        per_class = linked if per_class is None else per_class.union(linked)
+    out = rows.join(per_class, F.col("v") == F.col("v_"), "left")
+    component = F.coalesce("least", "rep", "vec_id")
+    return out.select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+def _linked(good: DataFrame, d: int, threshold: float, tile: int, sample: int) -> DataFrame:
+    """(v_, rep, weight, n, least) for each distinct vector of (vec_id, v), all of length d."""
     classes = stage(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("node", F.monotonically_increasing_id()), "vectors-classes")
     some = classes.orderBy(F.xxhash64("v"), "node").limit(sample).select("v").toPandas()["v"]
     vectors = unit(np.stack(some.to_list()))
@@ -162,7 +171,4 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     comp = components(links.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b")), "vectors-components")
     least = comp.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
     tied = counts.join(comp, "node").join(least, "component").select("node", "n", "least")
-    per_class = classes.join(tied, "node", "left").select(F.col("v").alias("v_"), "rep", "weight", "n", "least")
-    out = rows.join(per_class, F.col("v") == F.col("v_"), "left")
-    component = F.coalesce("least", "rep", "vec_id")
-    return out.select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return classes.join(tied, "node", "left").select(F.col("v").alias("v_"), "rep", "weight", "n", "least")

@@ -133,6 +133,18 @@ def test_vectors_equal_all_pairs(spark):
             assert (got[i].n_links, got[i].component_id, got[i].kept) == (linked[i].sum(), comp[i], comp[i] == i)
 
 
+def test_vectors_of_every_length(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6, 5)).tolist() * 2 + rng.normal(size=(2, 3)).tolist() * 2 + [[1.0], [2.0]]
+    x[10] = [3 * c for c in x[10]]
+    d = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    u = [np.array(v) / np.linalg.norm(v) for v in x]
+    pairs = [(i, j) for i in range(len(u)) for j in range(len(u)) if i != j and len(u[i]) == len(u[j]) and u[i] @ u[j] >= 0.95]
+    comp = reach(range(len(u)), pairs)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(d).collect()}
+    assert got == {i: (sum(a == i for a, _ in pairs), comp[i]) for i in comp} and got[14] == (1, 12) and got[17] == (1, 16)
+
+
 def test_vectors_odd_rows(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v), (2, v), (2, v), (None, v), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 3.0]), (7, [math.inf, 1.0, 1.0]), (8, [math.nan, 1.0, 1.0]), (9, [1.0, 2.0]), (10, [1e200, 2e200, 3e200]), (11, [3.0, -2.0, 0.1])]
