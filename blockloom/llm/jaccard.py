@@ -1,13 +1,13 @@
-"""N-gram Jaccard self-join: MinHash LSH forest for candidates, exact verification of links.
+"""N-gram Jaccard self-join: MinHash bands for candidates, exact verification of links.
 
 1. Documents become sets of hashed word n-grams; equal sets become one class, so copies of
    any number cost one comparison.
-2. Each class has `trees` labels, rows of up to `depth` minima; sorted labels are the prefix
-   trie. Prefixes are shortened from the full depth until the expected recall at the
-   threshold reaches the target: classes that share a prefix of that length in any tree are
-   candidates, linked to the least class of the prefix (no pairs are made). Long prefixes in
-   many trees keep unlike documents that share a passage apart: at Jaccard 0.1 a pair has a
-   chance of 3 in 10000 to be candidates, at 0.02 of one in ten million.
+2. Each class has `trees` labels, each of a band of minima. Bands are as long as the expected
+   recall at the threshold allows, `depth` at most, fixed before any data are seen; no forest
+   is built. Classes that share a label in any band are candidates, linked to the least class
+   of the label (no pairs are made). Long bands keep unlike documents that share a passage
+   apart: at Jaccard 0.1 a pair has a chance of 3 in 10000 to be candidates, at 0.02 of one in
+   ten million.
 3. Components of candidates are compared exactly. A component's classes are numbered and cut
    into tiles; a pair of tiles is one group that holds both tiles' sets once and counts
    intersections by a sparse-dense product. Links leave as a count per class and a forest.
