@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 import numpy as np
@@ -11,14 +12,27 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Set only when the session names no spark.checkpoint.dir, as in tests.
-DEFAULT_SHARED = "file:///tmp/checkpoints/blockloom"
+#: For a local master whose session names no shared folder, as in tests.
+LOCAL_SHARED = "file:///tmp/checkpoints/blockloom"
+#: Bytes of an Arrow batch, about; one row at least.
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in tests our own."""
+    """The folder that all executors share: spark.checkpoint.dir, or what setCheckpointDir was given.
+
+    Without either a local master uses a folder of its own; a cluster is refused, since what
+    one executor writes to its own disk the others can't read.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or DEFAULT_SHARED).rstrip("/")
+    if not found:
+        given = spark._jsc.sc().getCheckpointDir()
+        found = given.get() if given.isDefined() else None
+    if not found:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = LOCAL_SHARED
+    return found.rstrip("/")
 
 
 _staged: list[tuple[SparkSession, str]] = []
@@ -50,11 +64,15 @@ def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_batches(df: DataFrame, rows: int = 512) -> DataFrame:
-    """Lowers the session's Arrow batch to so many rows: rows are whole texts, and a worker holds a batch at a time."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def text_batches(df: DataFrame) -> DataFrame:
+    """Bounds the session's Arrow batches by bytes: rows are whole texts, and a worker holds a batch at a time.
+
+    Plans are made when they run, so the setting has to outlive this call. It only bounds
+    memory and is lowered only.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(re.sub(r"\D", "", conf.get(name)) or 0) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
     return df
 
 
