@@ -15,10 +15,8 @@ from __future__ import annotations
 
 import os
 import struct
-import unicodedata
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -29,13 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import new_path, stage, text_batches
+from blockloom.llm.common import new_path, spans, stage, text_batches
+from blockloom.llm.wordbpe import word_encoder
 
 HEAD = struct.Struct("<QI")
 #: Text bytes to a file, about; a file is written by one task in the order of its keys.
 FILE_TEXT_BYTES = 24 << 20
-#: Words whose ids a worker remembers, twice so many at most.
-CACHED_WORDS = 300_000
 SEPARATOR = 1
 
 
@@ -63,95 +60,17 @@ def unframe(data, at: int) -> tuple[bytes, int]:
     return payload, at + 16 + n
 
 
-_loaded: dict[str, tuple] = {}
-#: Punctuation that a letter before it never joins.
-_TRAILING = b".,;:!?"
-
-
-def _byte_letters() -> dict[int, str]:
-    """Byte-level vocabularies write printable bytes as themselves and the rest, in order, from U+0100 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in printable]
-    return {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-def _plain(tok):
-    """Ids of one word of lower-case letters by the library's merges alone, or None for other words.
-
-    Offered if the tokenizer treats a sample of such words alike with and without its
-    normaliser and pre-tokenizer, which change nothing in them.
-    """
-    table = _byte_letters()
-
-    def ids(word: str) -> list[int] | None:
-        if not word.isascii():
-            if not (word.islower() and word.isalpha() and unicodedata.is_normalized("NFC", word) and all(c < "\u0250" for c in word)):
-                return None
-            word = word.encode().decode("latin-1").translate(table)
-        elif not word.isalpha():
-            return None
-        return [t.id for t in tok.model.tokenize(word)]
-
-    sample = ["a", "the", "letters", "éèà", "straße", "größe", "niño", "zzqx", "ÿþð"]
-    return ids if all(ids(w) == tok.encode(w, add_special_tokens=False).ids for w in sample) else lambda word: None
-
-
-def _tokenizer(path: str):
-    if path not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        _loaded[path] = tok, _plain(tok), []
-    return _loaded[path]
-
-
-def encode_words(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of whole texts, each distinct word encoded once and remembered.
-
-    Exact for tokenizers that lower case, whose pre-tokenizer drops white space, never
-    matches across it and parts letters from punctuation: their ids of a text are those of
-    its white-space-separated words in turn. Remembered words are in two generations; the
-    older one goes when the newer is full.
-    """
-    tok, plain, caches = _tokenizer(path)
-    if not caches:
-        caches += [{}, {}]
-
-    def miss(w: bytes) -> bytes:
-        ids = caches[1].get(w)
-        if ids is None:
-            ids = _word(tok, plain, w)
-        if len(caches[0]) >= CACHED_WORDS:
-            caches[:] = [{}, caches[0]]
-        caches[0][w] = ids
-        return ids
-
-    out = []
-    for t in texts:
-        known = caches[0].get
-        out.append(np.frombuffer(b"".join([known(w) or miss(w) for w in t.encode().split()]), np.uint32))  # bytes split at ASCII white space only
-    return out
-
-
-def _word(tok, plain, w: bytes) -> bytes:
-    stem = w.rstrip(_TRAILING)
-    ids = plain((stem.lower() if stem.isascii() else stem).decode()) if stem else None
-    if ids is None:
-        return array("I", tok.encode(w.decode(), add_special_tokens=False).ids).tobytes()
-    return array("I", ids).tobytes() + (b"" if len(stem) == len(w) else _punctuation(tok, w[len(stem) :]))
-
-
-_ends: dict[tuple[int, bytes], bytes] = {}
-
-
-def _punctuation(tok, run: bytes) -> bytes:
-    key = (id(tok), run)
-    if key not in _ends:
-        if len(_ends) > 4096:
-            _ends.clear()
-        _ends[key] = array("I", tok.encode(run.decode(), add_special_tokens=False).ids).tobytes()
-    return _ends[key]
+def ragged(ids: np.ndarray, counts: np.ndarray, unit: int, separator: int | None) -> pa.Array:
+    """A binary column: of all ids in a row, each text's own and the separator after them."""
+    kind = np.dtype(f"<u{unit}")
+    if separator is not None:
+        flat = np.full(len(ids) + len(counts), separator, kind)
+        flat[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+        counts = counts + 1
+    else:
+        flat = ids.astype(kind)
+    offsets = np.concatenate([[0], np.cumsum(counts * unit)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
 
 
 def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", separator: int | None = SEPARATOR, unit: int = 2, files: Files | None = None) -> DataFrame:
@@ -160,16 +79,14 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     bucket is the file that the key belongs to, deal a value that Spark's hash partitioning
     sends to the bucket's own partition.
     """
-    kind, files = np.dtype(f"<u{unit}"), files or Files([], [0])
+    files = files or Files([], [0])
 
     def run(batches):
+        words = word_encoder(tokenizer)
         for batch in batches:
-            out, texts = [], [x or "" for x in batch.column(1).to_pylist()]
-            for i in range(0, len(texts), 256):
-                for ids in encode_words(texts[i : i + 256], tokenizer):
-                    out.append((np.append(ids, np.uint32(separator)) if separator is not None else ids).astype(kind).tobytes())
+            ids, counts = words.encode(*spans(batch.column(1)))
             bucket = files.bucket(batch.column(0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(bucket, pa.int32()), pa.array(np.array(files.deals, np.int32)[bucket])], names=["doc_id", "ids", "bucket", "deal"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ragged(ids, counts, unit, separator), pa.array(bucket, pa.int32()), pa.array(np.array(files.deals, np.int32)[bucket])], names=["doc_id", "ids", "bucket", "deal"])
 
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return text_batches(d).mapInArrow(run, "doc_id long, ids binary, bucket int, deal int")

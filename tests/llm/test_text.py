@@ -9,10 +9,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from blockloom.llm import media, mixing, pages, pieces, records, warc
+from blockloom.llm import media, mixing, pages, pieces, records, warc, wordbpe
+from blockloom.llm.common import spans
 from tests.llm.conftest import SF
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -43,10 +45,30 @@ def strange(n, longest):
 # --- records
 
 
-def test_word_encoding_is_the_library_s(tok, texts):
-    t = strange(3000, 30) + list(texts.values())
-    got = records.encode_words(t, WORDS)
-    assert all(a.tolist() == b.ids for a, b in zip(got, tok.encode_batch(t, add_special_tokens=False), strict=True))
+@pytest.mark.parametrize("size", [1 << 20, 1000, 64])
+def test_word_encoding_is_the_library_s(tok, texts, monkeypatch, size):
+    monkeypatch.setattr(wordbpe, "SLICE", size)
+    monkeypatch.setattr(wordbpe, "KNOWN_PARTS", 400_000 if size > 64 else 300)
+    t = ["x" * 7000, "a" * 64 + " " + "b" * 65, "<|endoftext|>", "foo<|startoftext|>bar it's don't 12345 %%%&&& Ünïcödé × ÷ ªº ȺǅΩİı", *strange(3000 if size > 1000 else 300, 30), "", *(list(texts.values()) if size > 1000 else [])]
+    encoder = wordbpe.WordEncoder(WORDS)
+    for some in (t, t[::-1]):
+        ids, n = encoder.encode(*spans(pa.array(some)))
+        want = [x.ids for x in tok.encode_batch(some, add_special_tokens=False)]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert encoder.encode(*spans(pa.array([], pa.string())))[0].tolist() == []
+
+
+def test_merges_rebuild_every_piece(tok):
+    """Each merge's product, cut into bytes, merges back to itself: merges by rank have no dead ends."""
+    encoder = wordbpe.WordEncoder(WORDS)
+    back = {v: k for k, v in wordbpe._byte_letters().items()}
+    pieces_ = [(i, bytes(back[c] for c in p.removesuffix("</w>"))) for p, i in tok.get_vocab().items() if p.endswith("</w>") and p != "</w>"]
+    for n in {len(p) for _, p in pieces_}:
+        some = [(i, p) for i, p in pieces_ if len(p) == n]
+        for who, ids in encoder.merges.rows(np.frombuffer(b"".join(p for _, p in some), np.uint8).reshape(-1, n)):
+            for w, row in zip(who.tolist(), ids.tolist(), strict=True):
+                p = some[w][1]
+                assert row == [t.id for t in tok.model.tokenize("".join(wordbpe._byte_letters()[b] for b in p))]
 
 
 def test_frames():
