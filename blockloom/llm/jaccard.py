@@ -1,14 +1,18 @@
-"""N-gram Jaccard self-join: MinHash bands for candidates, exact verification of links.
+"""N-gram Jaccard self-join: MinHash LSH forest for candidates, exact verification of links.
 
 1. Documents become sets of hashed word n-grams; equal sets become one class, so copies of
    any number cost one comparison.
-2. Each class has `trees` labels, each of a band of minima. Bands are as long as the expected
-   recall at the threshold allows, `depth` at most, fixed before any data are seen; no forest
-   is built. Classes that share a label in any band are candidates, linked to the least class
-   of the label (no pairs are made). Long bands keep unlike documents that share a passage
-   apart: at Jaccard 0.1 a pair has a chance of 3 in 10000 to be candidates, at 0.02 of one in
-   ten million.
-3. Components of candidates are compared exactly. A component's classes are numbered and cut
+2. Each class has a signature of `depth` minima in each of `trees` trees. A tree is its
+   signatures in sorted order: a trie whose nodes are prefixes, in which the longest common
+   prefix of neighbours tells where paths part. All trees are sorted together by range, so a
+   prefix that a third of all classes share is spread over tasks.
+3. Classes that share a prefix are neighbours in a tree, and every such pair of neighbours is
+   a link (no pairs of a group are made). A class starts with the longest prefix whose expected recall
+   at the threshold reaches `first_recall`. A class with a match there, in any tree, is in
+   crowded space: its prefixes are shortened in all trees, down to the one whose expected
+   recall reaches `recall`, and whatever shares those is its candidate too. A class alone keeps
+   long prefixes, so unlike documents that share a passage are seldom candidates.
+4. Components of candidates are compared exactly. A component's classes are numbered and cut
    into tiles; a pair of tiles is one group that holds both tiles' sets once and counts
    intersections by a sparse-dense product. Links leave as a count per class and a forest.
 """
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,20 +76,21 @@ def minima(sets: np.ndarray, mul: np.ndarray, add: np.ndarray, step: int = 1024)
 
 
 def prefix_length(trees: int, depth: int, threshold: float, recall: float) -> int:
-    """The longest prefix whose expected recall at the threshold reaches the target; 1 if none does."""
+    """The longest prefix, of `depth` at most, whose expected recall at the threshold reaches the target; 1 if none does."""
     for k in range(depth, 1, -1):
         if 1 - (1 - threshold**k) ** trees >= recall:
             return k
     return 1
 
 
-def labels(low: np.ndarray, trees: int) -> np.ndarray:
-    """A 64-bit label of each tree's row of minima."""
+def paths(low: np.ndarray, trees: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit label of each tree's first `floor` minima, the up to two minima below it as one number)."""
     rows = low.reshape(trees, -1).astype(np.uint64)
     out = np.arange(1, trees + 1, dtype=np.uint64)
-    for column in rows.T:
+    for column in rows.T[:floor]:
         out = mix64(out + column)
-    return out
+    below = [*rows.T[floor:], np.zeros(trees, np.uint64), np.zeros(trees, np.uint64)]
+    return out, below[0] << np.uint64(32) | below[1]
 
 
 def set_name(s: np.ndarray) -> bytes:
@@ -92,32 +98,83 @@ def set_name(s: np.ndarray) -> bytes:
     return np.array([s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(s + np.uint64(1))) ^ np.uint64(len(s))], np.uint64).tobytes()
 
 
-def signatures(docs: DataFrame, n: int, trees: int, length: int) -> DataFrame:
-    """(row, set_id, n_shingles, sig) for every row: sig has a label per tree, of prefixes of that length.
+def signatures(docs: DataFrame, n: int, trees: int, depth: int, floor: int) -> DataFrame:
+    """(row, set_id, n_shingles, labels, below) for every row: a path per tree, see paths().
 
-    set_id and sig are null where there are no words or no key.
+    set_id and paths are null where there are no words or no key.
     """
 
     def run(batches):
-        mul, add = _params(trees * length)
+        mul, add = _params(trees * depth)
         for batch in batches:
-            ids, sizes, sigs = [], [], []
+            ids, sizes, tops, belows = [], [], [], []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingles(text, n)
                 some = len(s) and row is not None
                 ids.append(set_name(s) if some else None)
                 sizes.append(len(s))
-                sigs.append(labels(minima(s, mul, add), trees).view(np.int64) if some else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["row", "set_id", "n_shingles", "sig"])
+                top, below = (x.view(np.int64) for x in paths(minima(s, mul, add), trees, floor)) if some else (None, None)
+                tops.append(top)
+                belows.append(below)
+            numbers = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(tops, numbers), pa.array(belows, numbers)], names=["row", "set_id", "n_shingles", "labels", "below"])
+
+    return text_batches(docs).select("row", "text").mapInArrow(run, "row long, set_id binary, n_shingles long, labels array<long>, below array<long>")
+
 
-    return text_batches(docs).select("row", "text").mapInArrow(run, "row long, set_id binary, n_shingles long, sig array<long>")
+def common_prefix(label_a, below_a, label_b, below_b, floor: int) -> np.ndarray:
+    """Length of the common prefix of paths, 0 where it is shorter than the floor."""
+    differ = below_a ^ below_b
+    return np.where(label_a != label_b, 0, floor + (differ >> 32 == 0) + (differ == 0))
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Links (a, b) of classes (node, sig) to the least class of every shared prefix."""
-    prefixes = classes.select("node", F.explode("sig").alias("label"))
-    heads = prefixes.groupBy("label").agg(F.min("node").alias("b"), F.max("node").alias("c")).where("b < c").drop("c")
-    return prefixes.join(heads, "label").where("node > b").select(F.col("node").alias("a"), "b").distinct()
+def neighbours(classes: DataFrame, floor: int) -> DataFrame:
+    """(kind, label, a, b, prefix, part): neighbours of one tree that share `floor` minima, in sorted order of all paths.
+
+    kind 0 is such a pair of classes (node, labels, below); kind 1 and 2 are the first and last path of a task
+    (class a, b what is below the label), of which the caller links those of neighbouring tasks.
+    """
+    rows = classes.select("node", F.explode(F.arrays_zip("labels", "below")).alias("p")).select(F.col("p.labels").alias("label"), F.col("p.below").alias("below"), "node")
+    rows = rows.repartitionByRange("label", "below", "node").sortWithinPartitions("label", "below", "node")
+
+    def run(batches):
+        part, last = TaskContext.get().partitionId(), None
+        make = lambda kind, label, a, b, prefix: pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(label, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.int32()), pa.array(np.full(len(a), part, np.int32))], names=["kind", "label", "a", "b", "prefix", "part"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            label, below, node = (c.to_numpy() for c in batch.columns)
+            if last is None:
+                yield make(1, label[:1], node[:1], below[:1], [0])
+            else:
+                label, below, node = (np.concatenate(x) for x in zip(last, (label, below, node), strict=True))
+            prefix = common_prefix(label[1:], below[1:], label[:-1], below[:-1], floor)
+            at = np.flatnonzero((prefix > 0) & (node[1:] != node[:-1]))
+            yield make(0, label[at], node[at + 1], node[at], prefix[at])
+            last = label[-1:], below[-1:], node[-1:]
+        if last is not None:
+            yield make(2, last[0], last[2], last[1], [0])
+
+    return rows.mapInArrow(run, "kind int, label long, a long, b long, prefix int, part int")
+
+
+def candidates(classes: DataFrame, floor: int, start: int) -> DataFrame:
+    """Links (a, b) of classes: neighbours that share `start` minima, and `floor` in prefixes that a class with such a match has.
+
+    All that share a prefix are one run of neighbours, so if one of them searches with the shorter prefix, all its pairs of neighbours are linked.
+    """
+    found = stage(neighbours(classes, floor), "jaccard-neighbours")
+    ends = found.where("kind > 0").select("part", "kind", "label", "a", "b").orderBy("part", "kind").collect()  # two rows a task
+    over = [(int(x.label), int(y.a), int(x.a), int(common_prefix(np.int64(x.label), np.int64(x.b), np.int64(y.label), np.int64(y.b), floor))) for x, y in zip(ends[1::2], ends[2::2], strict=False)]
+    pairs = found.where("kind = 0").select("label", "a", "b", "prefix")
+    if over:
+        pairs = pairs.union(classes.sparkSession.createDataFrame(over, pairs.schema).where("prefix > 0 and a <> b"))
+    strong, weak = pairs.where(F.col("prefix") >= start), pairs.where(F.col("prefix") < start)
+    # Prefixes of which a class has a match: in this tree, or in another (then it is an end of a weak pair here).
+    matched = strong.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends_of = weak.select("label", F.explode(F.array("a", "b")).alias("node")).distinct()
+    crowded = strong.select("label").union(ends_of.join(matched, "node", "left_semi").select("label")).distinct()
+    return strong.select("a", "b").union(weak.join(crowded, "label", "left_semi").select("a", "b"))
 
 
 def intersections(a: list[np.ndarray], b: list[np.ndarray], step: int = 4096) -> np.ndarray:
@@ -193,7 +250,7 @@ def verify(members: DataFrame, threshold: float, n: int, tile: int = TILE) -> Da
     return m.groupBy("comp", "i", "j").applyInArrow(run, "node long, n_links long, to long")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", *, n: int = 5, threshold: float = 0.8, trees: int = 32, depth: int = 6, recall: float = 0.99999, tile: int = TILE) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", *, n: int = 5, threshold: float = 0.8, trees: int = 32, depth: int = 6, first_recall: float = 0.9999, recall: float = 0.99999, tile: int = TILE) -> DataFrame:
     """(doc_id, class_id, component_id, n_links, n_shingles): one row per row of docs.
 
     n_links: other rows whose shingle sets have Jaccard >= threshold with this row's.
@@ -203,10 +260,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", *, n: int = 5
     integers; extra columns are left out. An empty table gives no rows.
     """
     d = docs.select(F.col(key).cast("long").alias("row"), F.col(text).alias("text"))
-    sig = stage(signatures(d, n, trees, prefix_length(trees, depth, threshold, recall)), "jaccard-signatures")
-    named = sig.where("set_id is not null").groupBy("set_id").agg(F.min("row").alias("rep"), F.count("*").alias("weight"), F.first("sig").alias("sig"))
+    start = prefix_length(trees, depth, threshold, first_recall)
+    floor = max(prefix_length(trees, start, threshold, recall), start - 2)
+    sig = stage(signatures(d, n, trees, start, floor), "jaccard-signatures")
+    named = sig.where("set_id is not null").groupBy("set_id").agg(F.min("row").alias("rep"), F.count("*").alias("weight"), F.first("labels").alias("labels"), F.first("below").alias("below"))
     classes = stage(named.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
-    found = components(candidates(classes), "jaccard-candidates")
+    found = components(candidates(classes, floor, start), "jaccard-candidates")
     sized = found.join(found.groupBy("component").agg(F.count("*").alias("n_comp")), "component")
     members = sized.select("node", F.col("component").alias("comp"), "n_comp").join(classes.select("node", "set_id", "rep", "weight"), "node")
     links = stage(verify(members.join(d, members.rep == d.row).drop("row", "rep"), threshold, n, tile), "jaccard-links")

@@ -105,6 +105,46 @@ def test_prefix_length_meets_recall():
         assert k == 6 or 1 - (1 - 0.8 ** (k + 1)) ** 32 < target
 
 
+def test_paths_sort_as_tries(spark):
+    """Links are those of tries walked by hand: shared long prefixes, and short ones where a class has a match."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.integers(0, 9, 4).tolist(), (rng.integers(0, 3, 4) << 32).tolist()) for i in range(60)] + [(60 + i, [77] * 4, [i << 32] * 4) for i in range(5)]
+    rows = [(i, [10 * t + x for t, x in enumerate(labels)], below) for i, labels, below in rows]
+    d = spark.createDataFrame(rows, "node long, labels array<long>, below array<long>")
+    by = collections.defaultdict(list)
+    for i, labels, below in rows:
+        for t in range(4):
+            by[labels[t], below[t]].append(i)
+    strong = {(a, b) for g in by.values() for a in g for b in g if a != b}
+    matched, short = {a for a, _ in strong}, collections.defaultdict(set)
+    for (label, _), g in by.items():
+        short[label].update(g)
+    weak = {(a, b) for g in short.values() if g & matched for a in g for b in g if a != b}
+    assert matched and not {60, 61} & matched
+    for n in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = jaccard.candidates(d, 5, 6).collect()
+        assert {tuple(r) for r in got} <= strong | weak
+        assert reach(range(65), [tuple(r) for r in got]) == reach(range(65), strong | weak)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_recall_at_the_threshold(spark):
+    """Of pairs at Jaccard 0.8 to 0.85 the join finds all but those that the target lets go."""
+    rng = np.random.default_rng(6)
+    texts, pairs = {}, []
+    for i in range(400):
+        w = [f"p{i}w{k}" for k in rng.permutation(90)]
+        cut = int(rng.integers(9, 11))  # 86 shingles, `cut` of them changed at the end: J from 0.79 to 0.81
+        texts[2 * i], texts[2 * i + 1] = " ".join(w), " ".join(w[:-cut] + [f"q{i}w{k}" for k in range(cut)])
+        a, b = words(texts[2 * i]), words(texts[2 * i + 1])
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append(2 * i)
+    got = {r.doc_id: r.n_links for r in jaccard.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert len(pairs) > 150 and sum(got[k] == 1 for k in pairs) >= 0.99 * len(pairs)
+    assert sum(got.values()) == 2 * sum(got[k] for k in pairs)
+
+
 def test_minima_agree_as_often_as_sets_overlap():
     r = np.random.default_rng(2)
     mul, add = jaccard._params(400)
