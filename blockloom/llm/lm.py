@@ -1,20 +1,25 @@
-"""Language-model scoring by a weighted backoff automaton over bigrams.
+"""Language-model scoring by a weighted backoff automaton over n-grams up to `order` words.
 
-States are contexts (a word, or the start). An arc of a state is a bigram seen in training
-and weighs log10 of its smoothed probability; a failure arc leads to the root state, where
-every word has an arc, and weighs log10 of the mass that discounting set aside:
+States are contexts seen in training (two words, one word, the empty root; a text's start counts
+as a word). An arc of a state is an n-gram seen in training and weighs log10 of its smoothed
+probability; a failure arc leads to the state of the context without its first word and weighs
+log10 of the mass kept for it. With prior strengths k (Dirichlet smoothing, interpolated):
 
-    seen     (c(v w) - D + D T(v) P(w)) / c(v)
-    failure  D T(v) / c(v), then P(w) = (c(w) + 1) / (N + V + 1)
+    arc      (c(u v w) + k3 P(w | v)) / (c(u v) + k3),   failure   k3 / (c(u v) + k3)
+    arc      (c(v w) + k2 P(w)) / (c(v) + k2),           failure   k2 / (c(v) + k2)
+    root     P(w) = (c(w) + 1) / (N + V + 1)
 
-with T(v) the distinct words seen after v and D = n1 / (n1 + 2 n2), so each state's
-probabilities sum to 1. A text is one left-to-right walk from the start to the end token.
+so each state's probabilities sum to 1. A text is one left-to-right traversal from its start to
+the end token that carries the state: the arc of the next word is taken if there is one,
+else failure arcs are followed up to a state that has it. Many texts are traversed side by side, a
+long one in stretches whose first state is read off the two words before them.
 
 No task holds the corpus's automaton. Texts are packed into blocks of whole documents. A
 block asks for the counts of its own distinct n-grams, by 64-bit fingerprints, of the tasks
 that own ranges of fingerprints, and gets the part of the automaton that its texts can
-reach. Each distinct n-gram of a block crosses the network once, whatever its count, so no
-n-gram is hot.
+reach. Each distinct n-gram of a block crosses the network once at most, whatever its count, so no
+n-gram is hot. A trigram can stand in other blocks only if both of its bigrams do, so only
+those are asked for; of the others the block's own count is the total.
 """
 
 from __future__ import annotations
@@ -32,6 +37,10 @@ from blockloom.llm.common import held_out, mix64, pack, stage, text_batches, unp
 #: Tokens to a block and n-grams to a range of fingerprints, about.
 BLOCK_TOKENS = 2_000_000
 RANGE_NGRAMS = 1_500_000
+#: Strengths k2, k3 of the shorter context's probability, in occurrences.
+PRIORS = (30.0, 5.0)
+#: Tokens that a stretch of a text has at most; stretches are traversed side by side.
+STRETCH = 512
 
 _END, _START = np.uint64(0x51ED270B9F652295), np.uint64(0xA0761D6478BD642F)
 
@@ -77,174 +86,227 @@ def make_blocks(d: DataFrame, block_tokens: int) -> DataFrame:
 
 
 class Block:
-    """A block's tokens with an end after each text, its distinct bigrams in order of fingerprint."""
+    """A block's tokens with an end after each text, and its distinct words, bigrams and trigrams.
 
-    def __init__(self, held: bytes, sizes: bytes, tokens: bytes, words: bytes):
+    Words are numbered, bigrams are keys (word, word) and trigrams keys (bigram, word), both in
+    order of key; bigram_of and trigram_of name that of each token (-1: none).
+    """
+
+    def __init__(self, held: bytes, sizes: bytes, tokens: bytes, words: bytes, order: int):
         self.held = np.frombuffer(held, np.uint8).astype(bool)
         self.sizes = unpack(sizes, np.uint32).astype(np.int64) + 1
         self.words = np.concatenate([np.frombuffer(words, np.uint64), [_END, _START]])
-        end, start = len(self.words) - 2, len(self.words) - 1
-        flat = np.full(int(self.sizes.sum()), end, np.int64)
+        self.w = len(self.words)
+        self.end, self.start = self.w - 2, self.w - 1
+        flat = np.full(int(self.sizes.sum()), self.end, np.int64)
         self.begins = np.cumsum(self.sizes) - self.sizes
         inside = np.ones(len(flat), bool)
         inside[self.begins + self.sizes - 1] = False
         flat[inside] = unpack(tokens, np.uint32)
         prev = np.empty_like(flat)
         prev[1:] = flat[:-1]
-        prev[self.begins] = start
+        prev[self.begins] = self.start
         self.flat = flat
         self.train = np.repeat(~self.held, self.sizes)
-        pairs, which = np.unique(prev * len(self.words) + flat, return_inverse=True)
-        first, second = pairs // len(self.words), pairs % len(self.words)
-        h = mix64(mix64(self.words)[first] + self.words[second])
-        order = np.argsort(h, kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        self.first, self.second, self.print, self.which = first[order], second[order], h[order], rank[which]
-
-    def pair_counts(self) -> np.ndarray:
-        return np.bincount(self.which[self.train], minlength=len(self.print))
+        self.bigram, self.bigram_of = np.unique(prev * self.w + flat, return_inverse=True)
+        self.first, self.second = self.bigram // self.w, self.bigram % self.w
+        self.bigram_print = mix64(mix64(self.words)[self.first] + self.words[self.second])
+        self.trigram, self.trigram_of = np.zeros(0, np.int64), np.full(len(flat), -1)
+        self.suffix = np.zeros(0, np.int64)
+        if order > 2:
+            later = np.ones(len(flat), bool)
+            later[self.begins] = False
+            at = np.flatnonzero(later)
+            self.trigram, where, of = np.unique(self.bigram_of[at - 1] * self.w + flat[at], return_index=True, return_inverse=True)
+            self.trigram_of[at] = of
+            self.suffix = self.bigram_of[at[where]]
+        self.context, self.last = self.trigram // self.w, self.trigram % self.w
+
+    def trigram_print(self, some: np.ndarray) -> np.ndarray:
+        return mix64(mix64(self.bigram_print[self.context[some]] + np.uint64(3)) + self.words[self.last[some]])
 
     def word_counts(self) -> np.ndarray:
         """Of words and ends in training; the start's count is that of the training texts."""
-        c = np.bincount(self.flat[self.train], minlength=len(self.words))
+        c = np.bincount(self.flat[self.train], minlength=self.w)
         c[-1] = (~self.held).sum()
         return c
 
+    def bigram_counts(self) -> np.ndarray:
+        return np.bincount(self.bigram_of[self.train], minlength=len(self.bigram))
 
-def _blocks_of(table: pa.Table) -> list[Block]:
-    return [Block(*(table[c][i].as_py() for c in ("held", "sizes", "tokens", "words"))) for i in range(len(table))]
+    def trigram_counts(self) -> np.ndarray:
+        return np.bincount(self.trigram_of[self.train & (self.trigram_of >= 0)], minlength=len(self.trigram))
 
+    def asked(self, shared: np.ndarray) -> np.ndarray:
+        """Trigrams that may stand in other blocks, by the bigrams that do."""
+        return np.flatnonzero((shared[self.context] > 0) & (shared[self.suffix] > 0))
 
-def _owner(h: np.ndarray, ranges: int) -> np.ndarray:
-    """Range of each fingerprint; rises with it."""
-    return (((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
 
+class Automaton:
+    """The part of the corpus's automaton that a block's texts reach, in log10.
 
-def _ask(block: int, h: np.ndarray, counts: np.ndarray, ranges: int, kinds: list[np.ndarray]):
-    """Rows (part, block, prints, counts, kinds) of sorted fingerprints, one for each range."""
-    owner = _owner(h, ranges)
-    cut = np.searchsorted(owner, np.arange(ranges + 1))
-    for r in np.flatnonzero(cut[1:] > cut[:-1]):
-        s = slice(cut[r], cut[r + 1])
-        yield int(r), block, pack(h[s]), pack(counts[s].astype(np.uint64)), b"" if not kinds else pack(kinds[0][s].astype(np.uint64))
-
+    Its arcs are the block's n-grams with a training count; weights of the others are not read.
+    """
 
-_ASKED = "part int, block long, prints binary, counts binary, types binary"
-_ASKED_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("prints", pa.binary()), ("counts", pa.binary()), ("types", pa.binary())])
+    def __init__(self, b: Block, word_total, bigram_total, trigram_total, n: int, v: int, priors: tuple[float, float]):
+        k2, k3 = priors
+        self.block = b
+        root = (word_total + 1.0) / (n + v + 1.0)
+        context = word_total.astype(float)  # an end has no followers and is never a context
+        two = (bigram_total + k2 * root[b.second]) / (context[b.first] + k2)
+        three = (trigram_total + k3 * two[b.suffix]) / (bigram_total[b.context].astype(float) + k3)
+        self.root, self.arc2, self.arc3 = np.log10(root), np.log10(two), np.log10(three)
+        self.fail2, self.fail3 = np.log10(k2 / (context + k2)), np.log10(k3 / (bigram_total.astype(float) + k3))
+        self.is1, self.is2, self.has3 = context > 0, bigram_total > 0, trigram_total > 0
+        self.is1[b.end] = False
+        self.long = len(b.trigram) > 0
+
+    def after(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state after the token at each place: (bigram or -1, word or -1)."""
+        b = self.block
+        pair, word = b.bigram_of[at], b.flat[at]
+        return np.where(self.is2[pair] if self.long else False, pair, -1), np.where(self.is1[word], word, -1)
+
+    def traverse(self, stretch: int = STRETCH) -> np.ndarray:
+        """log10 probability of each text."""
+        b = self.block
+        n = -(-b.sizes // stretch)
+        text = np.repeat(np.arange(len(n)), n)
+        place = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * stretch
+        at, left = b.begins[text] + place, np.minimum(b.sizes[text] - place, stretch)
+        lanes = np.argsort(-left, kind="stable")
+        at, left, text = at[lanes], left[lanes], text[lanes]
+        total = np.zeros(len(lanes))
+        pair, word = self.after(np.maximum(at - 1, 0))
+        fresh = at == b.begins[text]
+        pair[fresh], word[fresh] = -1, b.start if self.is1[b.start] else -1
+        for step in range(int(left[0]) if len(left) else 0):
+            m = int(np.searchsorted(-left, -step, "left"))  # lanes that have another token
+            pair, word = self._step(b.flat[at[:m] + step], pair[:m], word[:m], total)
+        return np.bincount(text, total, len(n))
+
+    def _step(self, w: np.ndarray, pair: np.ndarray, word: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Takes one token in every lane: adds its weight to total, gives the next states."""
+        b, root = self.block, np.ones(len(w), bool)
+        to = np.full(len(w), -1)
+        deep = np.flatnonzero(pair >= 0)
+        if len(deep):
+            key = pair[deep] * b.w + w[deep]
+            k = np.minimum(np.searchsorted(b.trigram, key), len(b.trigram) - 1)
+            hit = (b.trigram[k] == key) & self.has3[k]
+            total[deep] += np.where(hit, self.arc3[k], self.fail3[pair[deep]])
+            to[deep[hit]] = b.suffix[k[hit]]
+            root[deep[hit]] = False
+        some = np.flatnonzero(root & (word >= 0))
+        if len(some):
+            key = word[some] * b.w + w[some]
+            k = np.minimum(np.searchsorted(b.bigram, key), len(b.bigram) - 1)
+            hit = (b.bigram[k] == key) & self.is2[k]
+            total[some] += np.where(hit, self.arc2[k], self.fail2[word[some]])
+            if self.long:
+                to[some[hit]] = k[hit]
+            root[some[hit]] = False
+        rest = np.flatnonzero(root)
+        total[rest] += self.root[w[rest]]
+        return to, np.where(self.is1[w], w, -1)
+
+
+def _blocks_of(table: pa.Table, order: int) -> list[Block]:
+    return [Block(*(table[c][i].as_py() for c in ("held", "sizes", "tokens", "words")), order) for i in range(len(table))]
+
+
+WORDS, BIGRAMS, TRIGRAMS = range(3)
+_ASKED = "kind int, part int, block long, prints binary, counts binary"
+_ASKED_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("prints", pa.binary()), ("counts", pa.binary())])
+_ANSWER = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("total", pa.binary()), ("shared", pa.binary()), ("sum", pa.int64()), ("distinct", pa.int64())])
+_ANSWER_SQL = "kind int, block long, part int, total binary, shared binary, sum long, distinct long"
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-_ANSWER = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("total", pa.binary()), ("extra", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
-_ANSWER_SQL = "block long, part int, total binary, extra binary, a long, b long"
+def _ask(kind: int, block: int, prints: np.ndarray, counts: np.ndarray, ranges: int) -> list[tuple]:
+    """Rows of _ASKED: fingerprints in order with the block's counts, one for each range."""
+    order = np.argsort(prints, kind="stable")
+    h, counts = prints[order], counts[order].astype(np.uint64)
+    owner = (((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)  # rises with h
+    cut = np.searchsorted(owner, np.arange(ranges + 1))
+    return [(kind, int(r), block, pack(h[cut[r] : cut[r + 1]]), pack(counts[cut[r] : cut[r + 1]])) for r in np.flatnonzero(cut[1:] > cut[:-1])]
 
 
-def _answer_pairs(table: pa.Table) -> pa.Table:
-    """Totals of each asked bigram, back in the order asked; extra marks its first asker. a, b: bigrams of count 1, 2."""
+def _answer(table: pa.Table) -> pa.Table:
+    """Totals of the n-grams of one kind and range, back in the order asked; shared tells that several blocks asked. sum, distinct: of the range's training tokens."""
     table = table.sort_by("block")
     h = [unpack(x, np.uint64) for x in table["prints"].to_pylist()]
     c = np.concatenate([unpack(x, np.uint64) for x in table["counts"].to_pylist()])
-    _, at, which = np.unique(np.concatenate(h), return_index=True, return_inverse=True)
-    total = np.bincount(which, c, len(at)).astype(np.uint64)
-    mine = np.zeros(len(c), np.uint8)
-    mine[at] = 1
-    each = total[which]
-    cut = np.cumsum([0, *map(len, h)])
-    part = table["part"][0].as_py()
-    rows = [(b, part, pack(each[s:e]), pack(mine[s:e]), int((total == 1).sum()) if i == 0 else 0, int((total == 2).sum()) if i == 0 else 0) for i, (b, s, e) in enumerate(zip(table["block"].to_pylist(), cut, cut[1:], strict=False))]
-    return _table(rows, _ANSWER)
-
-
-def _answer_words(table: pa.Table) -> pa.Table:
-    """Totals and followers of each asked word. a: tokens of the range, b: distinct words seen."""
-    table = table.sort_by("block")
-    h = [unpack(x, np.uint64) for x in table["prints"].to_pylist()]
-    c, t = (np.concatenate([unpack(x, np.uint64) for x in table[n].to_pylist()]) for n in ("counts", "types"))
-    words, which = np.unique(np.concatenate(h), return_inverse=True)
-    total, kinds = (np.bincount(which, x, len(words)).astype(np.uint64) for x in (c, t))
-    text = words != _START
+    grams, which = np.unique(np.concatenate(h), return_inverse=True)
+    total = np.bincount(which, c, len(grams)).astype(np.uint64)
+    shared = (np.bincount(which) > 1).astype(np.uint8)
+    kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
+    text = (grams != _START) & (total > 0) if kind == WORDS else np.zeros(len(grams), bool)
     cut = np.cumsum([0, *map(len, h)])
-    part = table["part"][0].as_py()
-    rows = [(b, part, pack(total[which[s:e]]), pack(kinds[which[s:e]]), int(total[text].sum()) if i == 0 else 0, int((total[text] > 0).sum()) if i == 0 else 0) for i, (b, s, e) in enumerate(zip(table["block"].to_pylist(), cut, cut[1:], strict=False))]
+    rows = [(kind, b, part, pack(total[which[s:e]]), pack(shared[which[s:e]]) if kind == BIGRAMS else b"", int(total[text].sum()) if i == 0 else 0, int(text.sum()) if i == 0 else 0) for i, (b, s, e) in enumerate(zip(table["block"].to_pylist(), cut, cut[1:], strict=False))]
     return _table(rows, _ANSWER)
 
 
-def _joined(answers: pa.Table, column: str, dtype) -> np.ndarray:
-    """A block's answers, over all ranges in order."""
-    answers = answers.sort_by("part")
+def _totals(answers: pa.Table, kind: int, prints: np.ndarray, column: str = "total", dtype=np.uint64) -> np.ndarray:
+    """A block's answers of one kind, over all ranges, in the order of prints."""
+    answers = answers.filter(pa.array(answers["kind"].to_numpy() == kind)).sort_by("part")
     got = [unpack(x, dtype) for x in answers[column].to_pylist()]
-    return np.concatenate(got) if got else np.zeros(0, dtype)
-
-
-def arcs(pair_total, first, second, word_total, followers, n: int, v: int, discount: float):
-    """(arc of each bigram, root arc of each word) in log10: what a walk adds at each step.
-
-    The arc of an unseen bigram is its state's failure arc plus the root's arc.
-    """
-    root = (word_total + 1.0) / (n + v + 1.0)
-    seen, context, types = pair_total.astype(float), word_total[first].astype(float), followers[first].astype(float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = np.where(context > 0, (np.maximum(seen - discount, 0) + discount * types * root[second]) / context, root[second])
-    return np.log10(p), np.log10(root)
+    out = np.zeros(len(prints), np.int64)
+    out[np.argsort(prints, kind="stable")] = np.concatenate(got).astype(np.int64) if got else np.zeros(0, np.int64)
+    return out
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", *, held_mod: int = 7, block_tokens: int = BLOCK_TOKENS, range_ngrams: int = RANGE_NGRAMS) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", *, order: int = 3, priors: tuple[float, float] = PRIORS, held_mod: int = 7, block_tokens: int = BLOCK_TOKENS, range_ngrams: int = RANGE_NGRAMS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per row of docs.
 
-    Trains on the rows whose crc32(key as text) mod held_mod is not 2 and scores all. Null
-    and empty texts are one end token. Rows with a null key train. Keys are integers,
-    repeated ones are rows by themselves; extra columns are left out.
+    Trains on the rows whose crc32(key as text) mod held_mod is not 2 and scores all. order
+    is 2 or 3. Null and empty texts are one end token. Rows with a null key train. Keys are integers,
+    repeated ones are rows by themselves; extra columns are left out. An empty table gives no rows.
     """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out(key, held_mod).alias("held"))
     blocks = stage(make_blocks(d, block_tokens), "lm-blocks")
     tokens, words = blocks.agg(F.sum("n"), F.sum("n_words")).first()
-    pair_ranges = max(1, math.ceil((tokens or 0) / range_ngrams))
+    ranges = max(1, math.ceil((tokens or 0) / range_ngrams))
     word_ranges = max(1, math.ceil((words or 0) / range_ngrams))
+    body = ["block", "held", "sizes", "tokens", "words"]
 
-    def ask_pairs(batches):
+    def ask(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            for i, b in enumerate(_blocks_of(table)):
-                rows = list(_ask(table["block"][i].as_py(), b.print, b.pair_counts(), pair_ranges, []))
-                yield from _table(rows, _ASKED_ARROW).to_batches()
-
-    body = ["block", "held", "sizes", "tokens", "words"]
-    asked = blocks.select(*body).mapInArrow(ask_pairs, _ASKED)
-    pairs = stage(asked.groupBy("part").applyInArrow(_answer_pairs, _ANSWER_SQL), "lm-pairs")
-    n1, n2 = pairs.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
-    discount = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.75
+            for i, b in enumerate(_blocks_of(table, 2)):
+                block = table["block"][i].as_py()
+                yield from _table(_ask(WORDS, block, b.words, b.word_counts(), word_ranges) + _ask(BIGRAMS, block, b.bigram_print, b.bigram_counts(), ranges), _ASKED_ARROW).to_batches()
 
-    def ask_words(left: pa.Table, right: pa.Table) -> pa.Table:
+    def ask_trigrams(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
-        for i, b in enumerate(_blocks_of(left)):
-            total, mine = _joined(right, "total", np.uint64), _joined(right, "extra", np.uint8)
-            types = np.bincount(b.first[(mine == 1) & (total > 0)], minlength=len(b.words))
-            order = np.argsort(b.words, kind="stable")
-            rows += _ask(left["block"][i].as_py(), b.words[order], b.word_counts()[order], word_ranges, [types[order]])
+        for i, b in enumerate(_blocks_of(left, 3)):
+            some = b.asked(_totals(right, BIGRAMS, b.bigram_print, "shared", np.uint8))
+            rows += _ask(TRIGRAMS, left["block"][i].as_py(), b.trigram_print(some), b.trigram_counts()[some], ranges)
         return _table(rows, _ASKED_ARROW)
 
     by_block = lambda df: df.groupBy("block")
-    asked = by_block(blocks.select(*body)).cogroup(by_block(pairs)).applyInArrow(ask_words, _ASKED)
-    unigrams = stage(asked.groupBy("part").applyInArrow(_answer_words, _ANSWER_SQL), "lm-words")
-    n, v = unigrams.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    answer = lambda asked: asked.groupBy("kind", "part").applyInArrow(_answer, _ANSWER_SQL)
+    answers = stage(answer(blocks.select(*body).mapInArrow(ask, _ASKED)), "lm-answers")
+    n, v = answers.agg(F.coalesce(F.sum("sum"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    if order > 2:
+        bigrams = answers.where(F.col("kind") == BIGRAMS)
+        answers = answers.union(stage(answer(by_block(blocks.select(*body)).cogroup(by_block(bigrams)).applyInArrow(ask_trigrams, _ASKED)), "lm-trigrams"))
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for i, b in enumerate(_blocks_of(left)):
-            kinds = right["kind"].to_numpy()
-            of_pairs, of_words = right.filter(pa.array(kinds == 0)), right.filter(pa.array(kinds == 1))
-            total = _joined(of_pairs, "total", np.uint64)
-            order = np.argsort(b.words, kind="stable")
-            word_total, followers = np.zeros(len(b.words)), np.zeros(len(b.words))
-            word_total[order], followers[order] = _joined(of_words, "total", np.uint64), _joined(of_words, "extra", np.uint64)
-            arc, root = arcs(total, b.first, b.second, word_total, followers, n, v, discount)
+        for i, b in enumerate(_blocks_of(left, order)):
+            word_total, bigram_total, trigram_total = _totals(right, WORDS, b.words), _totals(right, BIGRAMS, b.bigram_print), b.trigram_counts()
+            if order > 2:
+                some = b.asked(_totals(right, BIGRAMS, b.bigram_print, "shared", np.uint8))
+                trigram_total[some] = _totals(right, TRIGRAMS, b.trigram_print(some))
+            auto = Automaton(b, word_total, bigram_total, trigram_total, n, v, priors)
             per = lambda x: np.add.reduceat(x, b.begins) if len(b.begins) else x  # noqa: B023, E731
-            rows = len(b.sizes)
-            out.append(pa.table({"doc_id": left["ids"][i].values.cast(pa.int64()), "held_out": pa.array(b.held), "n_tokens": pa.array(b.sizes), "n_known": pa.array(per((word_total[b.flat] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(rows, n)), "base_score": pa.array(per(root[b.flat])), "score": pa.array(per(arc[b.which]))}))
+            out.append(pa.table({"doc_id": left["ids"][i].values.cast(pa.int64()), "held_out": pa.array(b.held), "n_tokens": pa.array(b.sizes), "n_known": pa.array(per((word_total[b.flat] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(b.sizes), n)), "base_score": pa.array(per(auto.root[b.flat])), "score": pa.array(auto.traverse())}))
         return pa.concat_tables(out)
 
-    answers = pairs.withColumn("kind", F.lit(0)).union(unigrams.withColumn("kind", F.lit(1))).drop("a", "b")
     return by_block(blocks.select(*body, "ids")).cogroup(by_block(answers)).applyInArrow(walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from blockloom.llm.lm import PRIORS
+
 #: crc32 of a blob's hex form, a byte at a time through a table made from the polynomial.
 _TABLE = "t AS (SELECT list(list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS tbl FROM range(256) g(n))"
 
@@ -16,12 +18,14 @@ _REACH = "comp AS (SELECT n AS k, min(m) AS component_id FROM (WITH RECURSIVE w(
 
 ORACLES = {
     "op1_lm_score": f"""WITH {_TABLE}, d AS (SELECT doc_id, {_crc("hex(encode(CAST(doc_id AS VARCHAR)))")} % 7 = 2 AS held, list_append({_WORDS}, ' ') AS w FROM documents, t),
-x AS (SELECT doc_id, held, unnest(range(len(w))) AS pos, unnest(w) AS w, unnest(list_prepend('  ', w[:len(w) - 1])) AS v FROM d),
-uni AS (SELECT w, count(*) AS c FROM x WHERE NOT held GROUP BY w), ctx AS (SELECT v, count(*) AS c, count(DISTINCT w) AS t FROM x WHERE NOT held GROUP BY v),
-bi AS (SELECT v, w, count(*) AS c FROM x WHERE NOT held GROUP BY v, w),
-k AS (SELECT (SELECT sum(c) FROM uni) AS n, (SELECT count(*) FROM uni) AS vv, (SELECT least(0.95, greatest(0.1, count(*) FILTER (WHERE c = 1)::DOUBLE / (count(*) FILTER (WHERE c = 1) + 2 * count(*) FILTER (WHERE c = 2)))) FROM bi) AS dd),
-p AS (SELECT x.doc_id, x.held, coalesce(uni.c, 0) AS c, (coalesce(uni.c, 0) + 1.0::DOUBLE) / (k.n + k.vv + 1)::DOUBLE AS root, coalesce(bi.c, 0)::DOUBLE AS b, ctx.c::DOUBLE AS cc, ctx.t::DOUBLE AS tt, k.n, k.dd FROM x LEFT JOIN uni ON uni.w = x.w LEFT JOIN bi ON bi.v = x.v AND bi.w = x.w LEFT JOIN ctx ON ctx.v = x.v, k)
-SELECT doc_id, held AS held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, max(n)::BIGINT AS train_tokens, sum(log10(root)) AS base_score, sum(log10(CASE WHEN cc > 0 THEN (greatest(b - dd, 0) + dd * tt * root) / cc ELSE root END)) AS score FROM p GROUP BY doc_id, held""",
+x AS (SELECT doc_id, held, unnest(range(len(w))) AS pos, unnest(w) AS w, unnest(list_prepend('  ', w[:len(w) - 1])) AS v, unnest(list_prepend(NULL, list_prepend('  ', w[:len(w) - 1])[:len(w) - 1])) AS u FROM d),
+uni AS (SELECT w, count(*) AS c FROM x WHERE NOT held GROUP BY w), ctx AS (SELECT v, count(*) AS c FROM x WHERE NOT held GROUP BY v),
+bi AS (SELECT v, w, count(*) AS c FROM x WHERE NOT held GROUP BY v, w), tri AS (SELECT u, v, w, count(*) AS c FROM x WHERE NOT held AND u IS NOT NULL GROUP BY u, v, w),
+k AS (SELECT sum(c) AS n, count(*) AS vv FROM uni),
+p1 AS (SELECT x.*, coalesce(uni.c, 0) AS c, (coalesce(uni.c, 0) + 1.0::DOUBLE) / (k.n + k.vv + 1)::DOUBLE AS root, k.n FROM x LEFT JOIN uni ON uni.w = x.w, k),
+p2 AS (SELECT p1.*, (coalesce(bi.c, 0) + {PRIORS[0]}::DOUBLE * root) / (coalesce(ctx.c, 0) + {PRIORS[0]}::DOUBLE) AS two FROM p1 LEFT JOIN bi ON bi.v = p1.v AND bi.w = p1.w LEFT JOIN ctx ON ctx.v = p1.v),
+p3 AS (SELECT p2.*, CASE WHEN p2.u IS NULL THEN two ELSE (coalesce(tri.c, 0) + {PRIORS[1]}::DOUBLE * two) / (coalesce(bi.c, 0) + {PRIORS[1]}::DOUBLE) END AS three FROM p2 LEFT JOIN tri ON tri.u = p2.u AND tri.v = p2.v AND tri.w = p2.w LEFT JOIN bi ON bi.v = p2.u AND bi.w = p2.v)
+SELECT doc_id, held AS held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, max(n)::BIGINT AS train_tokens, sum(log10(root)) AS base_score, sum(log10(three)) AS score FROM p3 GROUP BY doc_id, held""",
     "op5_near_vectors": f"""WITH RECURSIVE nodes AS (SELECT vec_id AS k, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), links AS (SELECT a.k AS a, b.k AS b FROM nodes a JOIN nodes b ON a.k <> b.k AND list_cosine_similarity(a.v, b.v) >= 0.95), {_REACH}
 SELECT nodes.k AS vec_id, (SELECT count(*) FROM links WHERE a = nodes.k) AS n_links, component_id, component_id = nodes.k AS kept FROM nodes JOIN comp ON comp.k = nodes.k""",
     "op9_media": f"""WITH {_TABLE}, d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents), h AS (SELECT doc_id, octet_length(raw) AS n, greatest(64, (octet_length(raw) + 63) // 64 * 64) AS k, hex(raw) AS x FROM d), e AS (SELECT doc_id, n, k, rpad(x, CAST(2 * k AS INT), '0') AS x FROM h),

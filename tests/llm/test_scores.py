@@ -6,38 +6,44 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from blockloom.llm import quality
+from blockloom.llm import lm, quality
 from blockloom.llm.common import spans
 from blockloom.llm.lm import score
 from tests.llm.conftest import SF
 
 
-def brute(texts, mod=7):
+def brute(texts, order, priors, mod=7):
     tok = {k: (t or "").encode().lower().split() + [None] for k, t in texts.items()}
     held = {k: zlib.crc32(str(k).encode()) % mod == 2 for k in tok}
-    uni, bi, ctx = collections.Counter(), collections.Counter(), collections.Counter()
+    grams = collections.Counter()  # of every length, by tuple; <s> counts as a context
     for k, w in tok.items():
         if not held[k]:
-            uni.update(w)
-            bi.update(zip(["<s>"] + w[:-1], w, strict=True))
-            ctx.update(["<s>"] + w[:-1])
-    kinds = collections.Counter(a for a, _ in bi)
-    n, v = sum(uni.values()), len(uni)
-    n1, n2 = (sum(x == i for x in bi.values()) for i in (1, 2))
-    disc = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.75
+            seen = ["<s>", *w]
+            for n in (1, 2, 3):
+                grams.update(zip(*(seen[i:] for i in range(n)), strict=False))
+    n, v = sum(c for g, c in grams.items() if len(g) == 1 and g != ("<s>",)), sum(len(g) == 1 and g != ("<s>",) for g in grams)
     out = {}
     for k, w in tok.items():
-        base = [(uni[x] + 1) / (n + v + 1) for x in w]
-        p = [(max(bi[a, x] - disc, 0) + disc * kinds[a] * b) / ctx[a] if ctx[a] else b for a, x, b in zip(["<s>"] + w[:-1], w, base, strict=True)]
-        out[k] = (held[k], len(w), sum(uni[x] > 0 for x in w), n, sum(map(math.log10, base)), sum(map(math.log10, p)))
+        seen, base, score_ = ["<s>", *w], 0, 0
+        for i in range(1, len(seen)):
+            p = (grams[(seen[i],)] + 1) / (n + v + 1)
+            base += math.log10(p)
+            for m in range(1, order):
+                if i >= m:
+                    context = tuple(seen[i - m : i])
+                    p = (grams[(*context, seen[i])] + priors[m - 1] * p) / (grams[context] + priors[m - 1])
+            score_ += math.log10(p)
+        out[k] = (held[k], len(w), sum(grams[(x,)] > 0 for x in w), n, base, score_)
     return out
 
 
-def test_lm_equals_brute_force_in_any_blocks(spark, docs, texts):
-    want = brute(texts)
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_equals_brute_force_in_any_blocks(spark, docs, texts, order):
+    want = brute(texts, order, lm.PRIORS)
     for how in ({}, {"block_tokens": 500, "range_ngrams": 300}):
-        got = {r.doc_id: r for r in score(docs, **how).collect()}
+        got = {r.doc_id: r for r in score(docs, order=order, **how).collect()}
         assert got.keys() == want.keys()
         for k, w in want.items():
             r = got[k]
@@ -47,14 +53,26 @@ def test_lm_equals_brute_force_in_any_blocks(spark, docs, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_lm_probabilities_sum_to_one():
-    from blockloom.llm.lm import arcs
-
-    words = np.array([3.0, 1.0, 2.0])  # counts; the last stands for the state too
-    first, second = np.array([2, 2, 2]), np.array([0, 1, 2])
-    arc, root = arcs(np.array([1.0, 0.0, 1.0]), first, second, words, np.array([0, 0, 2.0]), 6, 3, 0.7)
-    unknown = 0.7 * 2 / 2 * (1 / 10)
-    assert abs((10**arc).sum() + unknown - 1) < 1e-12 and abs((10**root).sum() + 1 / 10 - 1) < 1e-12
+def test_lm_traversal_in_stretches_and_sums_to_one():
+    """Any stretch gives the same; from a state, the probabilities of all words and of an unknown one sum to 1."""
+    texts_ = [b"a b a b a c", b"", b"a b a d", b"b a b a b a b a"]
+    words, tokens, sizes = {}, [], []
+    for t in texts_:
+        w = t.split()
+        tokens += [words.setdefault(x, len(words)) for x in w]
+        sizes.append(len(w))
+    b = lm.Block(bytes(4), lm.pack(np.array(sizes, np.uint32)), lm.pack(np.array(tokens, np.uint32)), np.arange(1, len(words) + 1, dtype=np.uint64).tobytes(), 3)
+    counts = b.word_counts(), b.bigram_counts(), b.trigram_counts()
+    n, v = int(counts[0][:-1].sum()), int((counts[0][:-1] > 0).sum())
+    auto = lm.Automaton(b, *counts, n, v, (0.7, 1.3))
+    assert all(np.allclose(auto.traverse(k), auto.traverse(99)) for k in (1, 2, 3, 5))
+    a, bb = words[b"a"], words[b"b"]
+    pair = int(np.searchsorted(b.bigram, a * b.w + bb))
+    everyone = np.arange(b.w - 1)
+    total = np.zeros(b.w - 1)
+    auto._step(everyone, np.full(b.w - 1, pair), np.full(b.w - 1, bb), total)
+    unknown = auto.fail3[pair] + auto.fail2[bb] + math.log10(1 / (n + v + 1))
+    assert abs((10**total).sum() + 10**unknown - 1) < 1e-9
 
 
 def test_lm_odd_rows(odd):
