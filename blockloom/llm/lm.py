@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import held_out, mix64, pack, stage, text_batches, unpack
+from blockloom.llm.common import held_out, mix64, pack, spans, stage, text_batches, unpack
 
 #: Tokens to a block and n-grams to a range of fingerprints, about.
 BLOCK_TOKENS = 2_000_000
@@ -49,42 +49,137 @@ def make_blocks(d: DataFrame, block_tokens: int) -> DataFrame:
     """(block, n, n_words, ids, held, sizes, tokens, words) from (doc_id, text, held)."""
 
     def run(batches):
-        import xxhash
-
         task, no = TaskContext.get().partitionId(), 0
-        local: dict[bytes, int] = {}
-        keys, held, sizes, parts = [], [], [], []
+        keys, held, sizes, prints = [], [], [], []
 
         def flush():
-            nonlocal no, local
-            words = np.array([xxhash.xxh64_intdigest(w) for w in local], np.uint64)
-            tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+            nonlocal no
+            words, tokens = first_seen(np.concatenate(prints) if prints else np.zeros(0, np.uint64))
             out = pa.RecordBatch.from_arrays([pa.array([task << 24 | no], pa.int64()), pa.array([len(tokens) + len(keys)], pa.int64()), pa.array([len(words)], pa.int64()), pa.array([list(keys)], pa.list_(pa.int64())), pa.array([np.array(held, np.uint8).tobytes()], pa.binary()), pa.array([pack(np.array(sizes, np.uint32))], pa.binary()), pa.array([pack(tokens)], pa.binary()), pa.array([words.tobytes()], pa.binary())], names=["block", "n", "n_words", "ids", "held", "sizes", "tokens", "words"])
             no += 1
-            local = {}
-            for x in (keys, held, sizes, parts):
+            for x in (keys, held, sizes, prints):
                 x.clear()
             return out
 
         n = 0
         for batch in batches:
-            for key, text, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = (text or "").encode().lower().split()  # bytes: ASCII letters and white space only
-                number = local.setdefault
-                parts.append(np.array([number(w, len(local)) for w in words], np.uint32))
+            found, counts = word_prints(*spans(batch.column(1)))
+            at = 0
+            ends = np.cumsum(counts)
+            for i, (key, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 keys.append(key)
                 held.append(h)
-                sizes.append(len(words))
-                n += len(words) + 1
+                sizes.append(counts[i])
+                n += int(counts[i]) + 1
                 if n >= block_tokens:
+                    prints.append(found[at : ends[i]])
+                    at = ends[i]
                     yield flush()
                     n = 0
+            if at < len(found):
+                prints.append(found[at:])
         if keys:
             yield flush()
 
     return text_batches(d).mapInArrow(run, "block long, n long, n_words long, ids array<long>, held binary, sizes binary, tokens binary, words binary")
 
 
+def word_prints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit fingerprints of all words of the texts, number of each text's), A-Z lowered; words part at ASCII white space."""
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    starts = offsets[:-1]
+    prints, counts = [], np.zeros(len(starts), np.int64)
+    at = 0
+    while at < len(data):
+        to = _cut(data, offsets, at)
+        d = _LOWER[data[at:to]]
+        space = _SPACE[d]
+        begin = np.zeros(len(d) + 1, bool)
+        inner = starts[(starts >= at) & (starts < to)] - at
+        begin[inner] = True
+        begin[0] = True
+        first = ~space & (begin[:-1] | np.append(True, space[:-1]))
+        word = np.flatnonzero(first)
+        stop = np.flatnonzero(np.append(space, True) | begin)
+        length = stop[np.searchsorted(stop, word, "right")] - word
+        prints.append(_hash(d, word, length))
+        of = np.searchsorted(starts, word + at, "right") - 1
+        counts += np.bincount(of, minlength=len(starts))
+        at = to
+    return (np.concatenate(prints) if prints else np.zeros(0, np.uint64)), counts
+
+
+def _cut(data: np.ndarray, offsets: np.ndarray, at: int, size: int = 1 << 20) -> int:
+    """End of a slice of about `size` bytes: white space or the start of a text."""
+    to = at + size
+    while to < len(data):
+        begins = int(offsets[np.searchsorted(offsets, to, "right") - 1])
+        if begins > at:
+            return begins
+        spaces = np.flatnonzero(_SPACE[data[at:to]])
+        if len(spaces):
+            return at + int(spaces[-1]) + 1
+        to += size
+    return len(data)
+
+
+def _hash(d: np.ndarray, word: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Eight bytes of every word at a time."""
+    padded = np.concatenate([d, np.zeros(16, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
+    out = length.astype(np.uint64) + np.uint64(0x100)
+    left, k = np.arange(len(word)), 0
+    while len(left):
+        x = np.ascontiguousarray(eight[word[left] + k]).view("<u8").ravel()
+        x &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (np.uint64(8) - np.minimum(length[left] - k, 8).astype(np.uint64)))
+        out[left] = mix64(out[left] * np.uint64(0x9FB21C651E98DF25) + x)
+        k += 8
+        left = left[length[left] > k]
+    return mix64(out)
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+
+
+def numbered(keys: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, a place of each, number of each key); keys are below top.
+
+    Key and place share 64 bits where they fit, as sorting numbers is faster than sorting places.
+    """
+    n = len(keys)
+    bits = max(1, n).bit_length()
+    if not n or int(top).bit_length() + bits > 63:
+        return np.unique(keys, return_index=True, return_inverse=True)
+    both = np.sort(keys << bits | np.arange(n))
+    place, key = both & ((1 << bits) - 1), both >> bits
+    first = np.append(True, key[1:] != key[:-1])
+    of = np.empty(n, np.int64)
+    of[place] = np.cumsum(first) - 1
+    return key[first], place[first], of
+
+
+def first_seen(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct words, number of each word), numbered so that words seen early have small numbers."""
+    words, at, of = np.unique(prints, return_index=True, return_inverse=True)
+    order = np.argsort(at)
+    rank = np.empty(len(words), np.uint32)
+    rank[order] = np.arange(len(words), dtype=np.uint32)
+    return words[order], rank[of]
+
+
+def in_order(prints: np.ndarray) -> np.ndarray:
+    """An order by the leading 40 bits at least, the same whenever the same prints are given."""
+    n = len(prints)
+    bits = np.uint64(max(1, n).bit_length())
+    if bits > 24:
+        return np.argsort(prints, kind="stable")
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    return (np.sort((prints & ~low) | np.arange(n, dtype=np.uint64)) & low).astype(np.int64)
+
+
 class Block:
     """A block's tokens with an end after each text, and its distinct words, bigrams and trigrams.
 
@@ -108,7 +203,7 @@ class Block:
         prev[self.begins] = self.start
         self.flat = flat
         self.train = np.repeat(~self.held, self.sizes)
-        self.bigram, self.bigram_of = np.unique(prev * self.w + flat, return_inverse=True)
+        self.bigram, _, self.bigram_of = numbered(prev * self.w + flat, self.w**2)
         self.first, self.second = self.bigram // self.w, self.bigram % self.w
         self.bigram_print = mix64(mix64(self.words)[self.first] + self.words[self.second])
         self.trigram, self.trigram_of = np.zeros(0, np.int64), np.full(len(flat), -1)
@@ -117,7 +212,7 @@ class Block:
             later = np.ones(len(flat), bool)
             later[self.begins] = False
             at = np.flatnonzero(later)
-            self.trigram, where, of = np.unique(self.bigram_of[at - 1] * self.w + flat[at], return_index=True, return_inverse=True)
+            self.trigram, where, of = numbered(self.bigram_of[at - 1] * self.w + flat[at], len(self.bigram) * self.w)
             self.trigram_of[at] = of
             self.suffix = self.bigram_of[at[where]]
         self.context, self.last = self.trigram // self.w, self.trigram % self.w
@@ -182,33 +277,24 @@ class Automaton:
         pair[fresh], word[fresh] = -1, b.start if self.is1[b.start] else -1
         for step in range(int(left[0]) if len(left) else 0):
             m = int(np.searchsorted(-left, -step, "left"))  # lanes that have another token
-            pair, word = self._step(b.flat[at[:m] + step], pair[:m], word[:m], total)
+            here = at[:m] + step
+            pair, word = self.step(b.flat[here], b.trigram_of[here], b.bigram_of[here], pair[:m], word[:m], total)
         return np.bincount(text, total, len(n))
 
-    def _step(self, w: np.ndarray, pair: np.ndarray, word: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Takes one token in every lane: adds its weight to total, gives the next states."""
-        b, root = self.block, np.ones(len(w), bool)
-        to = np.full(len(w), -1)
-        deep = np.flatnonzero(pair >= 0)
-        if len(deep):
-            key = pair[deep] * b.w + w[deep]
-            k = np.minimum(np.searchsorted(b.trigram, key), len(b.trigram) - 1)
-            hit = (b.trigram[k] == key) & self.has3[k]
-            total[deep] += np.where(hit, self.arc3[k], self.fail3[pair[deep]])
-            to[deep[hit]] = b.suffix[k[hit]]
-            root[deep[hit]] = False
-        some = np.flatnonzero(root & (word >= 0))
-        if len(some):
-            key = word[some] * b.w + w[some]
-            k = np.minimum(np.searchsorted(b.bigram, key), len(b.bigram) - 1)
-            hit = (b.bigram[k] == key) & self.is2[k]
-            total[some] += np.where(hit, self.arc2[k], self.fail2[word[some]])
-            if self.long:
-                to[some[hit]] = k[hit]
-            root[some[hit]] = False
-        rest = np.flatnonzero(root)
-        total[rest] += self.root[w[rest]]
-        return to, np.where(self.is1[w], w, -1)
+    def step(self, w, trigram, bigram, pair, word, total) -> tuple[np.ndarray, np.ndarray]:
+        """Takes a token in every lane: adds its weight to total, gives the next states.
+
+        The block numbers the arcs that its tokens would take: trigram from the state pair, bigram from the state word.
+        """
+        deep, some = pair >= 0, word >= 0
+        hit3 = deep & self.has3[trigram] if self.long else deep
+        two = some & ~hit3
+        hit2 = two & self.is2[bigram]
+        add = np.where(hit3, self.arc3[trigram], np.where(deep, self.fail3[pair], 0.0)) if self.long else np.zeros(len(w))
+        add += np.where(hit2, self.arc2[bigram], np.where(two, self.fail2[word], 0.0))
+        add += np.where(hit3 | hit2, 0.0, self.root[w])
+        total[: len(w)] += add
+        return np.where(hit3 | hit2, bigram, -1) if self.long else np.full(len(w), -1), np.where(self.is1[w], w, -1)
 
 
 def _blocks_of(table: pa.Table, order: int) -> list[Block]:
@@ -228,7 +314,7 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 def _ask(kind: int, block: int, prints: np.ndarray, counts: np.ndarray, ranges: int) -> list[tuple]:
     """Rows of _ASKED: fingerprints in order with the block's counts, one for each range."""
-    order = np.argsort(prints, kind="stable")
+    order = in_order(prints)
     h, counts = prints[order], counts[order].astype(np.uint64)
     owner = (((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)  # rises with h
     cut = np.searchsorted(owner, np.arange(ranges + 1))
@@ -255,7 +341,7 @@ def _totals(answers: pa.Table, kind: int, prints: np.ndarray, column: str = "tot
     answers = answers.filter(pa.array(answers["kind"].to_numpy() == kind)).sort_by("part")
     got = [unpack(x, dtype) for x in answers[column].to_pylist()]
     out = np.zeros(len(prints), np.int64)
-    out[np.argsort(prints, kind="stable")] = np.concatenate(got).astype(np.int64) if got else np.zeros(0, np.int64)
+    out[in_order(prints)] = np.concatenate(got).astype(np.int64) if got else np.zeros(0, np.int64)
     return out
 
 

@@ -70,11 +70,33 @@ def test_lm_traversal_in_stretches_and_sums_to_one():
     pair = int(np.searchsorted(b.bigram, a * b.w + bb))
     everyone = np.arange(b.w - 1)
     total = np.zeros(b.w - 1)
-    auto._step(everyone, np.full(b.w - 1, pair), np.full(b.w - 1, bb), total)
+    find = lambda keys, key: np.where(np.isin(key, keys), np.searchsorted(keys, key), -1)
+    trigram, bigram = find(b.trigram, pair * b.w + everyone), find(b.bigram, bb * b.w + everyone)
+    auto.has3, auto.is2 = np.append(auto.has3, False), np.append(auto.is2, False)  # place -1: no such arc
+    auto.arc3, auto.arc2 = np.append(auto.arc3, 0), np.append(auto.arc2, 0)
+    auto.step(everyone, trigram, bigram, np.full(b.w - 1, pair), np.full(b.w - 1, bb), total)
     unknown = auto.fail3[pair] + auto.fail2[bb] + math.log10(1 / (n + v + 1))
     assert abs((10**total).sum() + 10**unknown - 1) < 1e-9
 
 
+def test_words_and_numbers_in_bulk():
+    texts_ = ["", "Ab aB\x0bÀ ", " x", "y\x1cz " + "long" * 9 + " longlong", None, "ab", "q" * 40, "b a"] * 3
+    prints, counts = lm.word_prints(*spans(pa.array(texts_)))
+    want = [w for t in texts_ for w in (t or "").encode().lower().split()]
+    assert counts.tolist() == [len((t or "").encode().split()) for t in texts_]
+    names = dict(zip(want, prints.tolist(), strict=True))
+    assert [names[w] for w in want] == prints.tolist() and len(set(names.values())) == len(names)
+    r = np.random.default_rng(3)
+    keys = r.integers(0, 50, 400)
+    for top in (50, 1 << 62):
+        k, at, of = lm.numbered(keys, top)
+        assert k.tolist() == sorted(set(keys.tolist())) and (keys[at] == k).all() and (k[of] == keys).all()
+    words, of = lm.first_seen(prints)
+    assert (words[of] == prints).all() and of[0] == 0
+    h = r.integers(0, 1 << 63, 1000).astype(np.uint64)
+    assert sorted(lm.in_order(h)) == list(range(1000)) and (np.diff(h[lm.in_order(h)].astype(float)) >= -(2.0**11)).all()
+
+
 def test_lm_odd_rows(odd):
     rows = score(odd).collect()
     assert len(rows) == odd.count()
