@@ -233,6 +233,57 @@ def test_copies_and_quotations_without_a_main_element_stay(spark):
     assert out[90] == out[91] == "\n".join([menu, *small, *article])
 
 
+def test_names_and_implied_ends():
+    body = "<article><p>x</p>%s<p>y</p></article>"
+    for gone in ("<ul><li class='ad'><div>Buy now</div></ul>", "<table><tr><td class='advert'><p>Buy now</p></td></tr></table>", "<ol class=commentlist><li><p>c</p><li>d</ol>", "<ins class=adsbygoogle>ad</ins>", "<div class=author-bio><p>b</p></div>"):
+        assert text_of(body % gone) == ["x", "y"], gone
+    assert text_of(body % "<ul><li class=ad><p>buy<li>keep<ul><li>in</ul><li>last</ul>") == ["x", "keep", "in", "last", "y"]
+    assert text_of(body % "<dl><dt class=ad>no<dd>d<dt>t</dl><table><tr><td class=ad>no<td>1<tbody><tr><th>2</table>") == ["x", "d", "t", "1", "2", "y"]
+    assert text_of(body % "<p>one <label>two</label> three") == ["x", "one two three", "y"]
+    for kept in ("<div class='content has-menu'>", "<div class=sidebar>", "<section id=related>"):
+        assert text_of(f"{kept}<article><p>x</p></article>") == ["x"], kept
+    assert text_of("<div class=related><article>no</article></div><article>x<div class=ad>a</div></article>") == ["x"]
+
+
+def test_suffix_array_equals_all_substrings(spark):
+    """n_repeated and n_outside against every window of every page, on hosts of few distinct words."""
+    r = random.Random(11)
+    rows = []
+    for i in range(60):
+        words_ = [r.choice("abc") if r.random() < 0.8 else f"u{i}" for _ in range(r.choice((0, 1, 3, 5, 6, 9, 40)))]
+        rows.append((i, f"http://h{i % 3}.example/{i}", f"<nav>{' '.join(words_)}</nav><article>t{i}</article>"))
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    streams = {i: pages.stream(pages.blocks(h))[0] for i, _, h in rows}
+    want = {}
+    for i, words_ in streams.items():
+        under, n = set(), min(6, len(words_))
+        for at in range(len(words_) - n + 1 if words_ else 0):
+            part = words_[at : at + n]
+            for j, others in streams.items():
+                if j != i and j % 3 == i % 3 and ((len(words_) < 6 and others == part) or (n == 6 and any(others[k : k + 6] == part for k in range(len(others) - 5)))):
+                    under.update(range(at, at + n))
+        want[i] = (len(words_), len(under))
+    assert 0 < sum(u for _, u in want.values()) < sum(n for n, _ in want.values())
+    for n in (1, 9):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {x.page_id: (x.n_outside, x.n_repeated) for x in pages.extract(d.repartition(4)).collect()}
+        assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_longest_repeats_by_hand():
+    r = np.random.default_rng(2)
+    for _ in range(200):
+        rows = np.unique(r.integers(1, 3, (r.integers(1, 12), 5)).astype(np.uint32) * (np.arange(5) < r.integers(2, 6)), axis=0)
+        a = r.integers(0, 3, len(rows))
+        b = np.maximum(a, np.where(r.random(len(rows)) < 0.2, 3, a))
+        got = pages.longest_repeats(np.zeros(len(rows), np.int64), rows, a, b)
+        for i, x in enumerate(rows):
+            size = int((x != 0).sum())
+            want = size if a[i] != b[i] else max([0, *(min(size, int(np.cumprod((x == y) & (x != 0)).sum())) for j, y in enumerate(rows) if (a[j], b[j]) != (a[i], b[i]))])
+            assert got[i] == want
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, None, None, 1), (2, "u", "", 2), (None, "http://x/", "<article>a</article>", 3), (3, "http://x/", "<article>a</article>", 3), (3, "http://x/", "<article>a</article>", 3), (4, "not a url", "<p>" + "long words " * 20_000, 4), (5, "http://x/", "<" * 500 + "article a='", 5)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string, page int").withColumns({"host": F.lit(1), "blocks": F.lit(2), "at": F.lit(3)})
