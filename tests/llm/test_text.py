@@ -414,6 +414,38 @@ def test_mix_meets_targets_and_limits(docs):
         assert (g.taken <= 3 * g["size"]).all()
 
 
+def test_schedule_is_the_mix_by_hand(docs):
+    """Blocks, their order and what is taken of each document, walked point by point."""
+    rows = mixing.schedule(docs).collect()
+    mixed = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    by_slot, taken = {}, {}
+    for r in rows:
+        by_slot.setdefault(r.slot, []).append(r)
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.words
+        assert 0 <= r.first_word and r.words > 0 and r.first_word + r.words <= mixed[r.doc_id]["size"]
+    assert all(taken.get(k, 0) == m.taken for k, m in mixed.items())
+    sizes = {m.source: m.source_size for m in mixed.values()}
+    wanted = {m.source: m.target for m in mixed.values()}
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    blocks = {s: -(-sizes[s] // 128) for s in names}
+    count = {s: min(round(wanted[s] * blocks[s] / sizes[s]), 3 * blocks[s]) for s in names}
+    total, ends = sum(count.values()), {}
+    for s in names:
+        ends[s] = (sum(ends[x][1] - ends[x][0] for x in ends), sum(ends[x][1] - ends[x][0] for x in ends) + count[s])
+    done = dict.fromkeys(names, 0)
+    for k in range(int(total * 1.02) + 64):
+        x = k * mixing.GOLDEN % 1.0 * total
+        s = next((s for s in names if ends[s][0] <= x < ends[s][1]), None)
+        if s is not None and done[s] < count[s]:
+            assert {(r.source, r.block) for r in by_slot[k]} == {(s, done[s] % blocks[s])}
+            done[s] += 1
+    assert len(by_slot) == total
+    for part in by_slot.values():  # a block's words are whole and of about one size
+        assert abs(sum(r.words for r in part) - sizes[part[0].source] / blocks[part[0].source]) <= 1
+    order = [by_slot[k][0].source for k in sorted(by_slot)][: total // 2]
+    assert all(abs(order.count(s) / len(order) - count[s] / total) < 0.05 for s in names)
+
+
 def test_mix_sizes_are_words(docs, texts):
     for r in mixing.mix(docs).collect():
         assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id]))
