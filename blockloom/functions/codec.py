@@ -270,8 +270,8 @@ def choose_trees(syms: list[int], n_alpha: int, rounds: int = 8) -> tuple[list[l
         count = np.zeros((k, n_alpha), np.int64)
         np.add.at(count, (select[group], s), 1)
         table = np.array([code_lengths(c.tolist()) for c in count])
-    used = list(dict.fromkeys(select.tolist()))  # trees in order of first use
-    used += [t for t in range(k) if t not in used]
+    used = list(dict.fromkeys(select.tolist()))  # trees in order of first use; unused ones are left out, but a block has two at least
+    used += [t for t in range(k) if t not in used][: max(0, 2 - len(used))]
     place = {t: i for i, t in enumerate(used)}
     return [table[t].tolist() for t in used], [place[t] for t in select.tolist()]
 
@@ -338,6 +338,21 @@ def encode_block(raw: bytes, engine: str = "library") -> tuple[bytes, int, int,
     return bits.cut(whole, 32, end), end - 32, crc, size
 
 
+def encode_chunk(raw: bytes, engine: str = "library") -> list[tuple[int, int, int, bytes, int, int]]:
+    """(start, end, length after run-length coding, bits, n_bits, crc) of the blocks of raw bytes that fill one at most.
+
+    One block, but for the library's encoder those that would use its last bytes are two.
+    """
+    cuts = [0, len(raw)]
+    if engine == "library" and len(raw) > (MAX_BLOCK - SPARE) * 4 // 5 and len(rle_encode(raw)) + SPARE > MAX_BLOCK:
+        cuts = [0, fill_block(raw, 0, MAX_BLOCK - SPARE), len(raw)]
+    out = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        data, n, crc, size = encode_block(raw[a:b], engine)
+        out.append((a, b, size, data, n, crc))
+    return out
+
+
 def assemble(level: int, blocks: list[tuple[bytes, int, int]]) -> bytes:
     """A stream of (bits, n_bits, crc): header, blocks at any alignment, end magic and combined CRC."""
     w = bits.Writer()
@@ -357,7 +372,7 @@ def compress(raw: bytes, level: int = 9, split: str = "parallel", engine: str =
     if engine == "library" and fits_one_block(len(raw), level):
         return bz2.compress(raw, level)  # one block: the library's stream is the one assembled here
     cuts = split_parallel(raw, level) if split == "parallel" else split_sequential(raw, level * 100_000)
-    return assemble(level, [encode_block(raw[a:b], engine)[:3] for _, _, a, b in cuts])
+    return assemble(level, [x[3:] for _, _, a, b in cuts for x in encode_chunk(raw[a:b], engine)])
 
 
 # --- reading blocks
@@ -555,7 +570,7 @@ class Stream:
 def walk(data: bytes, stops: list[int] | None = None, sizes: bool = True) -> tuple[int, list[Stream]]:
     """(status, streams) of a file: the parser's chain of blocks, streams back to back.
 
-    What follows a stream and is no header ends the file cleanly, a bare "BZ" too. Status is
+    What follows a stream and is no whole header ends the file cleanly, one that is cut off too. Status is
     -1 for a file that does not begin as a stream, else that of the first error. Without
     `sizes` a block's size after run-length coding is 0 where it is small for sure.
     """
@@ -566,8 +581,7 @@ def walk(data: bytes, stops: list[int] | None = None, sizes: bool = True) -> tup
     while True:
         head = data[at // 8 : at // 8 + 4]
         if streams and not (len(head) == 4 and head[:3] == b"BZh" and b"1" <= head[3:] <= b"9"):
-            # A cut-off header that could still become one is an early end, except a bare "BZ" or less.
-            return (CODE["ERR_EOF"] if head == b"BZh" else 0), streams
+            return 0, streams
         s = Stream([], head[3] - 48, 0, 0)
         streams.append(s)
         at += 32
@@ -597,17 +611,20 @@ def walk(data: bytes, stops: list[int] | None = None, sizes: bool = True) -> tup
             at = b.end_bit
 
 
-def unpack(data: bytes) -> tuple[int, list[bytes]]:
+def unpack(data: bytes, step: int = 1 << 18) -> tuple[int, list[bytes]]:
     """(status, plain bytes of each stream). The library reads whole streams first; where it objects, walk() names the error."""
-    out, rest = [], data
+    out, at = [], 0
     try:
-        while len(rest) >= 4 and rest[:3] == b"BZh" and b"1" <= rest[3:4] <= b"9":
-            d = bz2.BZ2Decompressor()
-            out.append(d.decompress(rest))
-            if not d.eof:
-                raise EOFError
-            rest = d.unused_data
-        if out and rest[:3] != b"BZh":
+        while data[at : at + 3] == b"BZh" and b"1" <= data[at + 3 : at + 4] <= b"9":
+            d, parts = bz2.BZ2Decompressor(), []
+            while not d.eof:
+                piece = data[at : at + step]
+                if not piece:
+                    raise EOFError
+                parts.append(d.decompress(piece))
+                at += len(piece) - len(d.unused_data)
+            out.append(b"".join(parts))
+        if out:
             return 0, out
     except (OSError, ValueError, EOFError):
         pass
@@ -615,6 +632,55 @@ def unpack(data: bytes) -> tuple[int, list[bytes]]:
     return status, [] if status else [b"".join(b.data for b in s.blocks) for s in streams]
 
 
+@dataclass
+class Mark:
+    """A magic at bit_off, the 32 bits behind it and, behind an end, the level of the stream that follows (0: none)."""
+
+    bit_off: int
+    is_end: bool
+    stored: int
+    next_level: int
+
+
+def marks(data: bytes, limit: int | None = None) -> list[Mark]:
+    """All magics that start in the first `limit` bytes, false ones among them."""
+    out = []
+    for is_end, magic in ((False, bits.BLOCK_MAGIC), (True, bits.END_MAGIC)):
+        for at in bits.find_magics(data, magic):
+            if limit is None or at < 8 * limit:
+                behind = (at + 80 + 7) // 8
+                head = data[behind : behind + 4]
+                level = head[3] - 48 if is_end and len(head) == 4 and head[:3] == b"BZh" and b"1" <= head[3:] <= b"9" else 0
+                out.append(Mark(at, is_end, bits.read(data, at + 48, 32), level))
+    return sorted(out, key=lambda m: m.bit_off)
+
+
+def chain(level: int, found: list[Mark], n_bits: int) -> tuple[int, list[tuple[int, int, int]]] | None:
+    """(streams, (bit_off, end, level) of each block) if the marks are the blocks and ends of whole streams, else None.
+
+    Stored checksums of the blocks must combine to the stored ones of their streams, so a false
+    mark is taken for a true one with a chance of one in 2^32 at most; its decoding fails then.
+    """
+    at, streams, out, crcs, open_ = 32, 0, [], [], True
+    for i, m in enumerate(found):
+        if not open_:
+            return (streams, out) if m.bit_off >= at else None  # behind the last stream nothing counts
+        if m.bit_off != at or at + 80 > n_bits:
+            return None
+        if m.is_end:
+            if bits.combine(crcs) != m.stored:
+                return None
+            streams, crcs = streams + 1, []
+            at, level, open_ = (at + 87) // 8 * 8 + 32 * bool(m.next_level), m.next_level, bool(m.next_level)
+        else:
+            if i + 1 == len(found):
+                return None
+            at = found[i + 1].bit_off
+            crcs.append(m.stored)
+            out.append((m.bit_off, at, level))
+    return None if open_ else (streams, out)
+
+
 def decompress(data: bytes) -> bytes:
     """Plain bytes; ValueError with the error's message otherwise."""
     status, plain = unpack(data)

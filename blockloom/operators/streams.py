@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from blockloom.functions import bits, codec
@@ -25,9 +26,13 @@ def encode_blocks(files: DataFrame, level: int = 9, split: str = "parallel", eng
     body = "major bigint, minor int, raw_off bigint, raw_len bigint, enc_len bigint, bits binary, n_bits bigint, crc bigint"
 
     def rows(data: bytes, cuts, major: int = 0, base: int = 0):
+        before = extra = -1
         for m, minor, a, b in cuts:
-            out, n, crc, enc = codec.encode_block(data[a:b], engine)
-            yield m + major, minor, base + a, b - a, enc, out, n, crc
+            extra = 0 if m != before else extra
+            before = m
+            for i, (lo, hi, enc, out, n, crc) in enumerate(codec.encode_chunk(data[a:b], engine)):
+                extra += i > 0
+                yield m + major, minor + extra, base + a + lo, hi - lo, enc, out, n, crc
 
     if split != "parallel":
         return per_file(files, body, lambda data: rows(data, codec.split_sequential(data, size)), 8)
@@ -70,7 +75,8 @@ def _small(data: bytes, level: int, split: str, engine: str) -> tuple[bytes, int
     if engine == "library" and codec.fits_one_block(len(data), level):
         return codec.compress(data, level), int(bool(data))
     cuts = codec.split_parallel(data, level) if split == "parallel" else codec.split_sequential(data, level * 100_000)
-    return codec.assemble(level, [codec.encode_block(data[a:b], engine)[:3] for _, _, a, b in cuts]), len(cuts)
+    blocks = [x[3:] for _, _, a, b in cuts for x in codec.encode_chunk(data[a:b], engine)]
+    return codec.assemble(level, blocks), len(blocks)
 
 
 # --- expand
@@ -116,9 +122,9 @@ def decode_candidates(files: DataFrame, candidates: DataFrame) -> DataFrame:
     has a status that is an error; the chain decides, and what it misses is decoded from its
     known start.
     """
-    stops = candidates.groupBy("file_id").agg(F.array_sort(F.collect_set("bit_off")).alias("stops"))
-    at = candidates.where("kind = 'block'").join(stops, "file_id").withColumn("next", F.filter("stops", lambda s: s > F.col("bit_off")))
-    at = at.select("file_id", "bit_off", F.coalesce(F.get("next", F.lit(0)), F.lit(-1)).alias("stop"), F.coalesce(F.get("next", F.lit(1)), F.lit(-1)).alias("second"))
+    w = W.partitionBy("file_id").orderBy("bit_off")
+    stops = candidates.select("file_id", "bit_off", "kind").distinct().withColumns({"stop": F.coalesce(F.lead("bit_off", 1).over(w), F.lit(-1)), "second": F.coalesce(F.lead("bit_off", 2).over(w), F.lit(-1))})
+    at = stops.where("kind = 'block'").drop("kind")
     first = F.floor(F.col("bit_off") / 8)
     last = F.when(F.col("second") < 0, F.octet_length("content")).otherwise(F.ceil(F.col("second") / 8) + 8)
     cut = files.join(at, "file_id").select(F.struct("file_id", "bit_off", "stop").alias("key"), F.substring("content", (first + 1).cast("int"), (last - first).cast("int")).alias("content"))
@@ -136,6 +142,21 @@ def decode_candidates(files: DataFrame, candidates: DataFrame) -> DataFrame:
     return out.select("key.file_id", "key.bit_off", "end_bit", "part", "data", "crc", "stored_crc", "blk_sz", "status")
 
 
+def decode_missing(files: DataFrame, missing: DataFrame) -> DataFrame:
+    """As decode_candidates, for blocks (file_id, bit_off) known by the chain alone: each from its start, up to wherever it ends."""
+    first = F.floor(F.col("bit_off") / 8)
+    cut = files.join(missing.select("file_id", "bit_off"), "file_id").select(F.struct("file_id", "bit_off").alias("key"), F.substring("content", (first + 1).cast("int"), F.octet_length("content")).alias("content"))
+
+    def make(key, data: bytes):
+        skip = key["bit_off"] % 8
+        b = codec.decode_block(data, skip, 9)
+        for i, lo in enumerate(range(0, max(1, len(b.data)), PART)):
+            yield b.end_bit + key["bit_off"] - skip, i, b.data[lo : lo + PART], b.crc, b.stored_crc, b.size, b.status
+
+    out = _keyed(cut, "end_bit bigint, part int, data binary, crc bigint, stored_crc bigint, blk_sz int, status int", make)
+    return out.select("key.file_id", "key.bit_off", "end_bit", "part", "data", "crc", "stored_crc", "blk_sz", "status")
+
+
 def _keyed(rows: DataFrame, schema: str, make) -> DataFrame:
     from blockloom.operators.columns import _arrow, _batch
 
@@ -152,8 +173,94 @@ def _keyed(rows: DataFrame, schema: str, make) -> DataFrame:
     return rows.select("key", "content").mapInArrow(run, full)
 
 
+def plan_blocks(files: DataFrame, chunk: int = 1 << 18) -> DataFrame:
+    """(file_id, block_no, n_streams, bit_off, stop, level): the blocks of regular files, in chunks and without decoding.
+
+    Magics, stored checksums and stream headers make the chain. A file whose chain does not
+    hold (damaged, with a false magic, or no stream) has one row of block_no -1. A file of streams
+    without blocks has one row of block_no null. A task holds a file's marks, 40 bytes a block.
+    """
+    size = F.octet_length("content")
+    n = F.ceil(size / F.lit(chunk)).cast("int")
+    parts = files.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)))
+    data = F.substring("content", F.col("chunk") * chunk + 1, F.lit(chunk + 16))
+    key = F.struct("file_id", "chunk", size.cast("bigint").alias("n"), F.ascii(F.substring("content", 4, 1).cast("string")).alias("digit"), (F.substring("content", 1, 3) == F.lit(b"BZh")).alias("signed"))
+
+    def find(data: bytes):
+        yield from ((m.bit_off, m.is_end, m.stored, m.next_level) for m in codec.marks(data, chunk))
+        yield -1, False, 0, 0  # so that a file without marks has a row
+
+    found = per_file(parts.select(key.alias("file_id"), data.alias("content")), "bit_off bigint, is_end boolean, stored bigint, next_level int", find)
+    at = F.when(F.col("bit_off") >= 0, F.col("bit_off") + F.col("file_id.chunk").cast("bigint") * (8 * chunk)).otherwise(-1)
+    found = found.select("file_id.file_id", "file_id.n", F.when(F.col("file_id.signed"), F.col("file_id.digit") - 48).otherwise(0).alias("level"), at.alias("bit_off"), "is_end", "stored", "next_level")
+    found = found.where((F.col("bit_off") >= 0) | F.col("file_id").isNotNull()).distinct()
+
+    def walk(table):
+        import pyarrow as pa
+
+        t = table.sort_by("bit_off").to_pylist()
+        level = t[0]["level"] or 0
+        good = codec.chain(level, [codec.Mark(r["bit_off"], r["is_end"], r["stored"], r["next_level"]) for r in t if r["bit_off"] >= 0], 8 * (t[0]["n"] or 0)) if 1 <= level <= 9 else None
+        streams, blocks = good or (0, [])
+        rows = [(i, streams, *b) for i, b in enumerate(blocks)] or [(None if good else -1, streams, None, None, None)]
+        columns = list(zip(*rows, strict=True))
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        names = ("block_no", "n_streams", "bit_off", "stop", "level")
+        return pa.table({"file_id": table["file_id"].combine_chunks().take(pa.array([0] * len(rows)))} | {k: pa.array(c, t_) for k, c, t_ in zip(names, columns, kinds, strict=True)})
+
+    kind = files.schema["file_id"].dataType.simpleString()
+    return found.groupBy("file_id").applyInArrow(walk, f"file_id {kind}, block_no int, n_streams int, bit_off bigint, stop bigint, level int")
+
+
+#: Larger files are decoded block by block. Every block decodes to fewer parts than this.
+SMALL, PARTS = 1 << 18, 64
+
+
+def _cut_blocks(files: DataFrame, plan: DataFrame) -> DataFrame:
+    """(key, content) of the planned blocks, dealt over tasks: a file's blocks are decoded side by side."""
+    first = F.floor(F.col("bit_off") / 8)
+    cut = files.join(plan.where("block_no >= 0"), "file_id").select(F.struct("file_id", "block_no", "bit_off", "stop", "level").alias("key"), F.substring("content", (first + 1).cast("int"), (F.ceil(F.col("stop") / 8) - first).cast("int")).alias("content"))
+    return cut.repartition(F.xxhash64("key.file_id", "key.block_no"))
+
+
+def _decode_planned(key, data: bytes) -> codec.Block:
+    skip = key["bit_off"] % 8
+    return codec.decode_block(data, skip, key["level"], key["stop"] - key["bit_off"] + skip, sizes=False)
+
+
+def _large(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    size = F.coalesce(F.octet_length("content"), F.lit(0))
+    return files.where(size <= SMALL), files.where(size > SMALL)
+
+
 def decompress(files: DataFrame) -> DataFrame:
-    """(file_id, part, data, status): plain parts in order of part; a bad file has one row with its error and no data."""
+    """(file_id, part, data, status): plain parts in order of part; a bad file has one row with its error and no data.
+
+    Files above SMALL bytes are decoded block by block in parallel, by plan_blocks; a task holds one block. Parts
+    of such a file are numbered with gaps. A file whose plan or blocks don't hold is
+    read once more as a whole, which names the error or gets around a false magic.
+    """
+    small, large = _large(files)
+    plan = plan_blocks(large)
+
+    def make(key, data: bytes):
+        b = _decode_planned(key, data)
+        for i, lo in enumerate(range(0, max(1, len(b.data)), PART)):
+            yield key["block_no"] * PARTS + i, b.data[lo : lo + PART] if not b.status else None, b.status
+
+    kind = files.schema["file_id"].dataType.simpleString()
+    decoded = _keyed(_cut_blocks(large, plan), "part int, data binary, status int", make).select("key.file_id", "part", "data", "status")
+    empty = plan.where("block_no is null").select("file_id", F.lit(0).alias("part"), F.lit(b"").alias("data"), F.lit(0).alias("status"))
+    whole = W.partitionBy("file_id")
+    decoded = decoded.union(empty).withColumn("bad", F.max("status").over(whole) != 0)
+    # Of a bad file one row is left, which is replaced by what reading it whole gives.
+    bad = decoded.where("bad").select("file_id").union(plan.where("block_no = -1").select("file_id")).distinct()
+    again = decompress_whole(large.join(bad, "file_id", "left_semi").select(F.col("file_id").cast(kind), "content"))
+    return decompress_whole(small).union(decoded.where("not bad").drop("bad")).union(again)
+
+
+def decompress_whole(files: DataFrame) -> DataFrame:
+    """decompress() of files by one task each."""
 
     def make(data: bytes):
         status, plain = codec.unpack(data)
@@ -179,14 +286,29 @@ def pass_through(files: DataFrame) -> DataFrame:
 
 
 def verify(files: DataFrame) -> DataFrame:
-    """(file_id, n_streams, n_blocks, plain_bytes, status, name, message): decodes and checks, keeps no output."""
+    """(file_id, n_streams, n_blocks, plain_bytes, status, name, message): decodes and checks, keeps no output.
+
+    Large files block by block, as in decompress; those that fail there are walked whole for the error.
+    """
+    body = "n_streams int, n_blocks int, plain_bytes bigint, status int"
 
     def make(data: bytes):
         status, streams = codec.walk(data, sizes=False)
         blocks = [b for s in streams for b in s.blocks]
         yield len(streams), len(blocks), sum(len(b.data) for b in blocks), status
 
-    out = with_messages(per_file(files, "n_streams int, n_blocks int, plain_bytes bigint, status int", make))
+    def one(key, data: bytes):
+        b = _decode_planned(key, data)
+        yield len(b.data), b.status
+
+    small, large = _large(files)
+    plan = plan_blocks(large)
+    each = _keyed(_cut_blocks(large, plan), "plain bigint, status int", one).groupBy("key.file_id").agg(F.count("*").cast("int").alias("n_blocks"), F.sum("plain").alias("plain_bytes"), F.max("status").alias("status"))
+    per = plan.groupBy("file_id").agg(F.max("n_streams").alias("n_streams"), F.min(F.coalesce("block_no", F.lit(0))).alias("least")).join(each, "file_id", "left")
+    fine = (F.col("least") >= 0) & (F.coalesce("status", F.lit(0)) == 0)
+    good = per.where(fine).select("file_id", "n_streams", F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), F.coalesce("plain_bytes", F.lit(0)).alias("plain_bytes"), F.lit(0).alias("status"))
+    rest = large.join(per.where(~fine).select("file_id"), "file_id", "left_semi").select("file_id", "content")
+    out = with_messages(per_file(small, body, make).union(good).union(per_file(rest, body, make)))
     return out.withColumn("message", F.when(F.col("status") == NOT_COMPRESSED, "not a valid compressed file").otherwise(F.col("message")))
 
 

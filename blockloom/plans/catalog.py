@@ -433,11 +433,13 @@ def scan_magics(spark, sf):
 
 @query("SELECT page_id, octet_length(encode(html)) AS plain_bytes, md5(html) AS digest, 0 AS status FROM pages")
 def speculative_decode(spark, sf):
-    """Scan, decode every candidate by itself, keep those on the chain, put them in order."""
+    """Scan, decode every candidate by itself, keep those on the chain, decode what the chain misses, put all in order."""
     packed = S.compress(C.as_files(_t(spark, sf, "pages"), "page_id", "html"), 1).select("file_id", "content")
     decoded = S.decode_candidates(packed, S.scan(packed, 1 << 14))
+    parsed = S.headers(packed)
     good = J.block_status(decoded.withColumn("level", F.lit(1))).where("final = 0")
-    kept = J.reordered(S.headers(packed), good.select("file_id", "bit_off", "part", "data", "final"))
+    late = J.block_status(S.decode_missing(packed, J.missing(parsed, good)).withColumn("level", F.lit(1)))
+    kept = J.reordered(parsed, good.union(late).select("file_id", "bit_off", "part", "data", "final"))
     return _as(_joined(kept.select("file_id", F.col("out_no").alias("part"), "data", F.col("final").alias("status"))), "page_id")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,7 +104,7 @@ class _FileWriter(DataSourceWriter):
             temporary = f"{root}/.{uuid.uuid4().hex}"
             with files.open_output_stream(temporary) as out:
                 out.write(bytes(row["content"]))
-            names.append((temporary, f"{root}/{row['name'].replace('/', '_')}"))
+            names.append((temporary, f"{root}/{quote(row['name'], safe=' ')}"))  # distinct names stay distinct
         return _Written(names)
 
     def commit(self, messages):

@@ -16,7 +16,7 @@ def arriving(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataF
 
 def decompressed(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
     """The parts of arriving files: map-only, so a plain streaming query."""
-    return streams.decompress(arriving(spark, path, files_per_batch))
+    return streams.decompress_whole(arriving(spark, path, files_per_batch))
 
 
 def drain(df: DataFrame, sink: str, checkpoint: str) -> DataFrame:

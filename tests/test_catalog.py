@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import random
 import os
 
 import duckdb
@@ -44,14 +45,35 @@ def test_query_equals_sql(spark, con, name):
     assert rows(got) == rows(want) and len(got)
 
 
+def fold(data, limit):
+    """Blocks by a byte-wise greedy fold: a fourth equal byte costs its count byte too, and needs room for both."""
+    at, size, run, last, cuts = 0, 0, 0, None, []
+    for i, x in enumerate(data):
+        run = run + 1 if x == last and run < 259 else 1
+        cost = 1 if run < 4 else 2 if run == 4 else 0
+        if size + cost > limit:
+            cuts.append((at, i))
+            at, size, run, cost = i, 0, 1, 1
+        size, last = size + cost, x
+    return [*cuts, (at, len(data))] if data else []
+
+
 def test_splits(spark, con):
     texts = dict(con.sql("SELECT doc_id, text FROM documents").fetchall())
-    for name, cuts in (("split_sequential", lambda d: codec.split_sequential(d, 1000)), ("split_parallel", lambda d: [(0, 0, a + lo, b + lo) for lo in range(0, len(d), 1000) for _, _, a, b in codec.split_sequential(d[lo : lo + 1000], 1000)])):
+    for name, cuts in (("split_sequential", lambda d: fold(d, 1000)), ("split_parallel", lambda d: [(a + lo, b + lo) for lo in range(0, len(d), 1000) for a, b in fold(d[lo : lo + 1000], 1000)])):
         got = sorted(tuple(r) for r in catalog.QUERIES[name](spark, SF).select("doc_id", "block_no", "raw_off", "raw_len", "enc_len").collect())
-        want = sorted((k, i, a, b - a, len(codec.rle_encode(t.encode()[a:b]))) for k, t in texts.items() for i, (_, _, a, b) in enumerate(cuts(t.encode())))
+        want = sorted((k, i, a, b - a, len(codec.rle_encode(t.encode()[a:b]))) for k, t in texts.items() for i, (a, b) in enumerate(cuts(t.encode())))
         assert got == want
 
 
+@pytest.mark.parametrize("limit", [7, 20, 61, 300])
+def test_greedy_blocks_equal_the_fold(limit):
+    r = random.Random(limit)
+    for _ in range(150):
+        data = b"".join(bytes([r.choice(b"ab")]) * r.choice((1, 2, 3, 4, 5, 6, 258, 259, 260, 264, 518, 520)) for _ in range(r.randint(0, 8)))
+        assert [c[2:] for c in codec.split_sequential(data, limit)] == fold(data, limit)
+
+
 def test_rotations_of_documents(spark, con):
     texts = dict(con.sql("SELECT doc_id, text FROM documents").fetchall())
     for r in catalog.rotation_sort_documents(spark, SF).collect():

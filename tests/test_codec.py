@@ -1,6 +1,8 @@
 import bz2
 import random
+import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -176,3 +178,38 @@ def test_false_magic_inside_a_block():
     stops = sorted([32, 200, 1000, end])
     status, streams = codec.walk(packed, stops)
     assert status == 0 and streams[0].blocks[0].data == data
+
+
+def test_full_blocks_of_level_nine_take_the_library():
+    data = np.random.default_rng(1).bytes(1_900_000)
+    t = time.time()
+    packed = codec.compress(data, 9)
+    assert bz2.decompress(packed) == data and codec.decompress(packed) == data and time.time() - t < 20
+    assert [(a, b) for a, b, *_ in codec.encode_chunk(data[:900_000])] == [(0, codec.fill_block(data[:900_000], 0, 899_981)), (codec.fill_block(data[:900_000], 0, 899_981), 900_000)]
+
+
+def test_ends_behind_a_stream():
+    whole = bz2.compress(b"some text")
+    for tail in (b"", b"B", b"BZ", b"BZh", b"BZh0", b"BZx9abc", b"\0", b"BZh:1AY", b"garbage"):
+        assert codec.walk(whole + tail)[0] == 0, tail
+        assert codec.unpack(whole + tail) == (0, [b"some text"])
+    for tail in (b"BZh9", b"BZh9\x31", b"BZh9\x31\x41\x59"):
+        assert codec.walk(whole + tail)[0] == CODE["ERR_EOF"], tail
+
+
+def test_many_streams_are_read_in_linear_time():
+    data = bz2.compress(b"x") * 20_000
+    t = time.time()
+    assert codec.unpack(data) == (0, [b"x"] * 20_000) and time.time() - t < 5
+
+
+def test_marks_chain_without_decoding():
+    two = bz2.compress(bytes(range(256)) * 2000, 1) + bz2.compress(b"") + bz2.compress(b"abc", 5)
+    for data in (two, two + b"BZ", two + b"tail"):
+        streams, blocks = codec.chain(1, codec.marks(data), 8 * len(data))
+        _, walked = codec.walk(data)
+        assert streams == 3 and blocks == [(b.bit_off, b.end_bit, s.level) for s in walked for b in s.blocks]
+    assert codec.chain(1, codec.marks(two[:-1]), 8 * len(two) - 8) is None and codec.chain(1, [], 0) is None
+    spoilt = bytearray(two)
+    spoilt[11] ^= 1  # a stored checksum
+    assert codec.chain(1, codec.marks(bytes(spoilt)), 8 * len(two)) is None

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockloom import cli
-from blockloom.functions import codec
+from blockloom.functions import bits, codec
 from blockloom.functions import expressions as E
 from blockloom.operators import columns as C
 from blockloom.operators import confirm as J
@@ -70,6 +70,50 @@ def test_sink_and_large_files(spark, tmp_path):
     assert {r.file_id for r in one} == {r.file_id for r in many} == {"a", "c"}
 
 
+def test_large_files_block_by_block(spark, tmp_path):
+    """Several blocks and streams, damage, tails and a false magic, against the standard library."""
+    r = random.Random(9)
+    plain = {"many": r.randbytes(350_000), "runs": bytes(5_000_000) + r.randbytes(300_000), "joined": r.randbytes(300_000), "tail": r.randbytes(300_000), "false": b""}
+    packed = {k: bz2.compress(v, 1) for k, v in plain.items()}
+    packed["joined"] += bz2.compress(b"") + bz2.compress(b"end", 3) + b"BZh"
+    plain["joined"] += b"end"
+    packed["tail"] += b"not a stream \x31\x41\x59\x26\x53\x59 behind"
+    w = bits.Writer()
+    w.put(int.from_bytes(b"BZh1", "big"), 32)
+    w.put(bits.read(packed["many"], 32, 8 * len(packed["many"]) - 32), 8 * len(packed["many"]) - 32)
+    packed["same"], plain["same"] = w.done(), plain["many"]
+    for k, at, mask in (("data", 150_000, 4), ("crc", 10, 1), ("sign", 0, 1)):
+        bad = bytearray(packed["many"])
+        bad[at] ^= mask
+        packed[k] = bytes(bad)
+    packed["cut"] = packed["many"][:-40_000]
+    del packed["false"], plain["false"]
+    files = spark.createDataFrame(list(packed.items()), "file_id string, content binary")
+    assert {x.file_id for x in S.plan_blocks(files, 1 << 14).where("block_no = -1").collect()} == {"crc", "sign", "cut"}
+    assert {x.file_id: x.n for x in S.plan_blocks(files, 1 << 14).where("block_no >= 0").groupBy("file_id").agg(F.count("*").alias("n")).collect()}["many"] == len(codec.walk(packed["many"])[1][0].blocks) > 3
+    back = S.decompress(files).collect()
+    checked = {x.file_id: x for x in S.verify(files).collect()}
+    for k, v in packed.items():
+        mine = sorted((x for x in back if x.file_id == k), key=lambda x: x.part)
+        status, streams = codec.walk(v, sizes=False)
+        assert checked[k].status == status
+        if k in plain:
+            assert status == 0 and b"".join(bytes(x.data) for x in mine) == plain[k] and all(x.status == 0 for x in mine)
+            assert (checked[k].n_streams, checked[k].n_blocks, checked[k].plain_bytes) == (len(streams), sum(len(s.blocks) for s in streams), len(plain[k]))
+        else:
+            assert status != 0 and [(x.data, x.status) for x in mine] == [(None, status)]
+    missed = spark.createDataFrame([("many", codec.walk(packed["many"])[1][0].blocks[1].bit_off)], "file_id string, bit_off long")
+    (late,) = S.decode_missing(files, missed).collect()
+    assert late.status == 0 and bytes(late.data) == codec.walk(packed["many"])[1][0].blocks[1].data
+
+
+def test_sink_keeps_names_apart(spark, tmp_path):
+    register(spark)
+    rows = [("a/b", b"1"), ("a_b", b"2"), ("é f", b"3")]
+    spark.createDataFrame(rows, "name string, content binary").write.format("bz2files").mode("overwrite").option("path", f"file://{tmp_path}/out").save()
+    assert sorted(open(tmp_path / "out" / f, "rb").read() for f in os.listdir(tmp_path / "out")) == [b"1", b"2", b"3"]
+
+
 def test_stream_of_arrivals(spark, folder, tmp_path):
     out = drain(decompressed(spark, str(folder), 2), str(tmp_path / "t"), str(tmp_path / "c"))
     assert out.select("file_id").distinct().count() == 5 and out.where("status <> 0").count() == 0
