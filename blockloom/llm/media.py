@@ -65,7 +65,7 @@ def _png(b: bytes, i: int) -> int:
 
 def _jpeg(b: bytes, i: int) -> int:
     at = i + 2
-    while at + 4 <= len(b) and b[at] == 0xFF:
+    while at + 4 <= len(b) and b[at] == 0xFF and (at == i + 2 or b[at + 1] not in (0xD8, 0xD9)):
         marker, n = b[at + 1], struct.unpack_from(">H", b, at + 2)[0]
         if n < 2:
             return 0
@@ -148,15 +148,28 @@ VALID = {"wav": _wav, "png": _png, "jpeg": _jpeg, "gif": _gif, "bmp": _bmp, "mp4
 
 
 def carve(data: bytes) -> list[tuple[str, int, int]]:
-    """(type, start, length) of every valid medium; one inside another's span is listed too."""
-    found = []
+    """(type, start, length) of every valid medium; one inside the span of another type is listed too.
+
+    A start inside an accepted span of its own type is part of that medium (a page of a stream, a picture's thumbnail).
+    Where the end of a type is sought and missing, later starts of that type cannot have it either.
+    """
+    found, until, hopeless = [], {}, set()
     for end, (name, back, n) in _automaton().iter(data.decode("latin-1")):
         start = end + 1 - n - back
-        if start >= 0 and (length := VALID[name](data, start)):
+        if start < until.get(name, 0) or name in hopeless:
+            continue
+        if length := VALID[name](data, start):
             found.append((name, start, length))
+            until[name] = start + length
+        elif name in _END and data.find(_END[name], start) < 0:
+            hopeless.add(name)
     return sorted(found, key=lambda x: (x[1], -x[2], x[0]))
 
 
+#: What a medium of the type must hold behind its start.
+_END = {"jpeg": b"\xff\xd9", "pdf": b"%%EOF", "png": b"IEND"}
+
+
 def to_wav(samples: bytes, rate: int = 8000) -> bytes:
     """8-bit mono samples as a RIFF/WAVE file. Data of odd length get the pad byte."""
     n = len(samples)

@@ -1,10 +1,12 @@
 """Tokens, pieces, pages, archives, media and mixing."""
 
+import gzip
 import hashlib
 import html
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -326,6 +328,39 @@ def test_archive_odd_rows(spark):
     assert warc.plain_text("<p>a</p><script>x</script>b<br>c &lt;d&gt;") == "a\nb\nc <d>"
 
 
+def http(body, *lines):
+    return b"\r\n".join([b"HTTP/1.1 200 OK", *lines, b"", b""]) + body
+
+
+def test_archive_of_real_shapes():
+    """Chunked, compressed and other charsets; gzip members; what plain text keeps apart."""
+    page = "<html lang=fr><title>T</title><table><tr><td>caf\xe9<td>b</table><select><option>x<option>y</select></html>"
+    made = {
+        "chunked": http(b"5;a=b\r\n" + page.encode()[:5] + b"\r\n%x\r\n" % (len(page.encode()) - 5) + page.encode()[5:] + b"\r\n0\r\n\r\n", b"Transfer-Encoding: chunked", b"Content-Type: text/html; charset=UTF-8"),
+        "latin": http(page.encode("latin-1"), b"content-type:text/html;charset=ISO-8859-1"),
+        "meta": http(b"<meta charset=iso-8859-1>" + page.encode("latin-1")),
+        "gzip": http(gzip.compress(page.encode()), b"Content-Encoding: gzip"),
+        "deflate": http(zlib.compress(page.encode())[2:-4], b"Content-Encoding: deflate"),
+        "unknown": http(page.encode(), b"Content-Type: text/html; charset=no-such"),
+    }
+    for name, message in made.items():
+        one = warc.record("response", f"<urn:{name}>", [("WARC-Target-URI", "http://x/")], message)
+        for data in (one, gzip.compress(one), gzip.compress(one) + gzip.compress(one)):
+            meta, conversion = warc.parse(warc.derive(data))[:2]
+            assert conversion[1].decode() == "T\ncaf\xe9 b\nx y", name
+            assert b"language: fr" in meta[1] and conversion[0]["warc-refers-to"] == f"<urn:{name}>"
+
+
+def test_archive_errors_are_rows(spark):
+    good = warc.response("1", "http://x/", "<p>a</p>")
+    bad = [b"junk", good[:-3], good.replace(b"Content-Length: ", b"Content-Length: x", 1), good.replace(b"WARC-Record-ID", b"WARC-Other-ID", 1), gzip.compress(good)[:-9], gzip.compress(good) + b"tail", good.replace(b"<p>a", b"<p>b")]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate([good, None, b"", *bad])], "i int, warc binary")
+    rows = sorted(warc.derivatives(d.withColumn("error", F.lit(1))).collect())
+    assert [r.error is None for r in rows] == [True] * 3 + [False] * len(bad)
+    assert all((r.derived is None) == (r.error is not None) for r in rows) and len(warc.parse(bytes(rows[0].derived))) == 2
+    assert warc.parse(warc.record("resource", "<a>", [("WARC-Block-Digest", "md5:x")], b"b"))
+
+
 # --- media
 
 
@@ -356,6 +391,15 @@ def test_each_format(kind):
     assert not [x for x in media.carve(data[: len(data) // 2]) if x[0] == kind and x[1] == 0 and kind not in ("ogg", "flac", "mp4")]
 
 
+def test_carving_is_linear_and_takes_streams_whole():
+    for data, n in ((MEDIA["ogg"] * 3000, 1), (b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x02" * 15_000, 0), (b"%PDF-1" * 30_000, 0), (MEDIA["png"] * 500, 500), (MEDIA["gif"] * 2000, 2000)):
+        t = time.time()
+        found = media.carve(data)
+        assert len(found) == n and sum(x[2] for x in found) <= len(data) and time.time() - t < 2
+    both = MEDIA["pdf"][:9] + MEDIA["png"] + b"%%EOF"
+    assert [x[0] for x in media.carve(both)] == ["pdf", "png"]
+
+
 def test_sniffing_corrects_types(spark):
     rows = [(b, "image/gif") for b in MEDIA.values()] + [(None, "image/png"), (b"", None), (b"BM only text that says RIFF", "text/plain"), (b"xx" + MEDIA["png"] + MEDIA["gif"], "text/plain")]
     d = spark.createDataFrame(rows, "media binary, said string").withColumns({"sniffed": F.lit("clash"), "carved": F.lit(1)})
