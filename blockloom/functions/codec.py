@@ -655,8 +655,8 @@ def marks(data: bytes, limit: int | None = None) -> list[Mark]:
     return sorted(out, key=lambda m: m.bit_off)
 
 
-def chain(level: int, found: list[Mark], n_bits: int) -> tuple[int, list[tuple[int, int, int]]] | None:
-    """(streams, (bit_off, end, level) of each block) if the marks are the blocks and ends of whole streams, else None.
+def chain(level: int, found: list[Mark], n_bits: int) -> tuple[int, list[tuple[int, int, int, int, int]]] | None:
+    """(streams, (bit_off, end, level, stream, number in it) of each block) if the marks are the blocks and ends of whole streams, else None.
 
     Stored checksums of the blocks must combine to the stored ones of their streams, so a false
     mark is taken for a true one with a chance of one in 2^32 at most; its decoding fails then.
@@ -677,7 +677,7 @@ def chain(level: int, found: list[Mark], n_bits: int) -> tuple[int, list[tuple[i
                 return None
             at = found[i + 1].bit_off
             crcs.append(m.stored)
-            out.append((m.bit_off, at, level))
+            out.append((m.bit_off, at, level, streams, len(crcs) - 1))
     return None if open_ else (streams, out)
 
 

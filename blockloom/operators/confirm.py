@@ -39,20 +39,29 @@ def chained(spans: DataFrame) -> DataFrame:
 
 
 def reachable(spans: DataFrame) -> DataFrame:
-    """Spans reached from each file's first one by end = start, over any number of steps.
+    """(file_id, bit_off, end_bit, step): spans reached from each file's first one by end = start, over any number of steps.
 
-    A span is reached if every bit before it is covered by a chain, so with each span's own
-    end the walk is a recursive join on (file_id, end_bit = bit_off).
+    A task walks the spans of a file, 16 bytes each, so the number of steps costs no rounds of joins. Of spans
+    that start at one bit the one of least end is taken; a span that ends where it starts ends the walk.
     """
-    spark = spans.sparkSession
-    name = f"spans_{abs(hash(spans.semanticHash()))}"
-    spans.createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE walk(file_id, bit_off, end_bit, step) MAX RECURSION LEVEL 100000 AS (
-            SELECT file_id, min_by(bit_off, bit_off), min_by(end_bit, bit_off), 0 FROM {name} GROUP BY file_id
-            UNION ALL
-            SELECT s.file_id, s.bit_off, s.end_bit, w.step + 1 FROM walk w JOIN {name} s ON s.file_id = w.file_id AND s.bit_off = w.end_bit
-        ) SELECT * FROM walk""")
+
+    def walk(table):
+        import pyarrow as pa
+
+        starts, ends = table["bit_off"].to_pylist(), table["end_bit"].to_pylist()
+        to: dict[int, int] = {}
+        for a, b in zip(starts, ends, strict=True):
+            if a is not None and b is not None:
+                to[a] = min(b, to.get(a, b))
+        at, out = min(to, default=None), []
+        while at in to:
+            out.append((at, to[at], len(out)))
+            at = to[at] if to[at] > at else None
+        return pa.table({"file_id": table["file_id"].combine_chunks().take(pa.array([0] * len(out), pa.int32())), "bit_off": pa.array([x[0] for x in out], pa.int64()), "end_bit": pa.array([x[1] for x in out], pa.int64()), "step": pa.array([x[2] for x in out], pa.int32())})
+
+    kind = spans.schema["file_id"].dataType.simpleString()
+    narrow = spans.select("file_id", F.col("bit_off").cast("long").alias("bit_off"), F.col("end_bit").cast("long").alias("end_bit"))
+    return narrow.groupBy("file_id").applyInArrow(walk, f"file_id {kind}, bit_off bigint, end_bit bigint, step int")
 
 
 def with_messages(statuses: DataFrame, code: str = "status") -> DataFrame:

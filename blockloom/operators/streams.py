@@ -102,16 +102,37 @@ def scan(files: DataFrame, chunk: int = 1 << 18) -> DataFrame:
     return found.select("file_id.file_id", (F.col("bit_off") + F.col("file_id.chunk").cast("bigint") * (8 * chunk)).alias("bit_off"), "kind")
 
 
+_HEADER = "stream_no int, block_no int, bit_off bigint, end_bit bigint, level int, stored_crc bigint, randomised boolean, bwt_idx int, n_used int, n_trees int, n_selectors int, blk_sz int, status int"
+
+
+def _header(stream_no: int, no: int, level: int, b: codec.Block, shift: int = 0) -> tuple:
+    return stream_no, no, b.bit_off + shift, b.end_bit + shift, level, b.stored_crc, b.randomised, b.bwt_idx, b.n_used, b.n_trees, b.n_selectors, b.size, b.status
+
+
 def headers(files: DataFrame) -> DataFrame:
-    """(file_id, stream_no, block_no, bit_off, ...): the confirmed blocks of each file, by the chain from its start."""
+    """(file_id, stream_no, block_no, bit_off, ...): the confirmed blocks of each file, by the chain from its start.
+
+    Blocks of large regular files are read side by side; other files are walked by one task each.
+    """
 
     def make(data: bytes):
         _, streams = codec.walk(data)
         for i, s in enumerate(streams):
             for j, b in enumerate(s.blocks):
-                yield i, j, b.bit_off, b.end_bit, s.level, b.stored_crc, b.randomised, b.bwt_idx, b.n_used, b.n_trees, b.n_selectors, b.size, b.status
+                yield _header(i, j, s.level, b)
 
-    return per_file(files, "stream_no int, block_no int, bit_off bigint, end_bit bigint, level int, stored_crc bigint, randomised boolean, bwt_idx int, n_used int, n_trees int, n_selectors int, blk_sz int, status int", make)
+    def one(key, data: bytes):
+        skip = key["bit_off"] % 8
+        b = codec.decode_block(data, skip, key["level"], key["stop"] - key["bit_off"] + skip)
+        yield _header(key["stream_no"], key["no"], key["level"], b, key["bit_off"] - skip)
+
+    small, large = _large(files)
+    plan = plan_blocks(large)
+    each = _keyed(_cut_blocks(large, plan), _HEADER, one).withColumn("bad", F.max("status").over(W.partitionBy("key.file_id")) != 0)
+    bad = each.where("bad").select("key.file_id").union(plan.where("block_no = -1").select("file_id")).distinct()
+    rest = large.join(bad, "file_id", "left_semi").select("file_id", "content")
+    good = each.where("not bad").select("key.file_id", *(c for c in each.columns if c not in ("key", "bad")))
+    return per_file(small, _HEADER, make).union(good).union(per_file(rest, _HEADER, make))
 
 
 def decode_candidates(files: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -174,7 +195,7 @@ def _keyed(rows: DataFrame, schema: str, make) -> DataFrame:
 
 
 def plan_blocks(files: DataFrame, chunk: int = 1 << 18) -> DataFrame:
-    """(file_id, block_no, n_streams, bit_off, stop, level): the blocks of regular files, in chunks and without decoding.
+    """(file_id, block_no, n_streams, bit_off, stop, level, stream_no, no): the blocks of regular files, in chunks and without decoding.
 
     Magics, stored checksums and stream headers make the chain. A file whose chain does not
     hold (damaged, with a false magic, or no stream) has one row of block_no -1. A file of streams
@@ -202,14 +223,14 @@ def plan_blocks(files: DataFrame, chunk: int = 1 << 18) -> DataFrame:
         level = t[0]["level"] or 0
         good = codec.chain(level, [codec.Mark(r["bit_off"], r["is_end"], r["stored"], r["next_level"]) for r in t if r["bit_off"] >= 0], 8 * (t[0]["n"] or 0)) if 1 <= level <= 9 else None
         streams, blocks = good or (0, [])
-        rows = [(i, streams, *b) for i, b in enumerate(blocks)] or [(None if good else -1, streams, None, None, None)]
+        rows = [(i, streams, *b) for i, b in enumerate(blocks)] or [(None if good else -1, streams, None, None, None, None, None)]
         columns = list(zip(*rows, strict=True))
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-        names = ("block_no", "n_streams", "bit_off", "stop", "level")
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        names = ("block_no", "n_streams", "bit_off", "stop", "level", "stream_no", "no")
         return pa.table({"file_id": table["file_id"].combine_chunks().take(pa.array([0] * len(rows)))} | {k: pa.array(c, t_) for k, c, t_ in zip(names, columns, kinds, strict=True)})
 
     kind = files.schema["file_id"].dataType.simpleString()
-    return found.groupBy("file_id").applyInArrow(walk, f"file_id {kind}, block_no int, n_streams int, bit_off bigint, stop bigint, level int")
+    return found.groupBy("file_id").applyInArrow(walk, f"file_id {kind}, block_no int, n_streams int, bit_off bigint, stop bigint, level int, stream_no int, no int")
 
 
 #: Larger files are decoded block by block. Every block decodes to fewer parts than this.
@@ -219,7 +240,7 @@ SMALL, PARTS = 1 << 18, 64
 def _cut_blocks(files: DataFrame, plan: DataFrame) -> DataFrame:
     """(key, content) of the planned blocks, dealt over tasks: a file's blocks are decoded side by side."""
     first = F.floor(F.col("bit_off") / 8)
-    cut = files.join(plan.where("block_no >= 0"), "file_id").select(F.struct("file_id", "block_no", "bit_off", "stop", "level").alias("key"), F.substring("content", (first + 1).cast("int"), (F.ceil(F.col("stop") / 8) - first).cast("int")).alias("content"))
+    cut = files.join(plan.where("block_no >= 0"), "file_id").select(F.struct("file_id", "block_no", "bit_off", "stop", "level", "stream_no", "no").alias("key"), F.substring("content", (first + 1).cast("int"), (F.ceil(F.col("stop") / 8) - first).cast("int")).alias("content"))
     return cut.repartition(F.xxhash64("key.file_id", "key.block_no"))
 
 

@@ -397,9 +397,32 @@ def roundtrip_pages(spark, sf):
     return _as(_joined(S.decompress(S.compress(files, 1, "sequential"))), "page_id")
 
 
-@query("SELECT item_id, octet_length(encode(text)) AS plain_bytes, md5(text) AS digest, 0 AS status FROM benchmark")
+@query("SELECT doc_id, octet_length(encode(text)) AS plain_bytes, md5(text) AS digest, 0 AS status FROM documents")
 def roundtrip_native(spark, sf):
-    return _as(_joined(S.decompress(S.compress(_items(spark, sf), engine="native"))), "item_id")
+    """Through this package's own encoder, stage by stage, and the library's decoder."""
+    return _as(_joined(S.decompress(S.compress(_docs(spark, sf), engine="native"))), "doc_id")
+
+
+def _sources(spark, sf):
+    """The texts of a source as one file of many blocks."""
+    d = _t(spark, sf, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n")
+    return C.as_files(d.groupBy("source").agg(texts.alias("text")), "source", "text")
+
+
+_SOURCES = "SELECT coalesce(source, '') AS source, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY coalesce(source, '')"
+
+
+@query(f"SELECT source, octet_length(encode(text)) AS plain_bytes, md5(text) AS digest, 0 AS status FROM ({_SOURCES})")
+def roundtrip_sources(spark, sf):
+    """Files of several blocks, each block decoded by itself."""
+    return _as(_joined(S.decompress(S.compress(_sources(spark, sf), 1).select("file_id", "content"))), "source")
+
+
+@query(f"SELECT source, 1 AS n_streams, octet_length(encode(text)) AS plain_bytes, 0 AS status FROM ({_SOURCES})")
+def verify_sources(spark, sf):
+    checked = S.verify(S.compress(_sources(spark, sf), 1).select("file_id", "content"))
+    return _as(checked.select("file_id", "n_streams", "plain_bytes", "status"), "source")
 
 
 @query("SELECT doc_id, octet_length(encode(text || lang)) AS plain_bytes, md5(text || lang) AS digest, 0 AS status FROM documents")
@@ -449,12 +472,12 @@ def verify_documents(spark, sf):
 
 
 _DAMAGE = {"block_crc": "ERR_BLKCRC", "stream_crc": "ERR_STRMCRC", "header": "ERR_HEADER", "cut": "ERR_EOF"}
-_DAMAGE_SQL = " UNION ALL ".join(f"SELECT '{k}' AS damage, {CODE[n]} AS status, '{next(m for c, _, m in ERRORS if c == CODE[n])}' AS message, count(*) AS n FROM benchmark" for k, n in _DAMAGE.items())
+_DAMAGE_SQL = " UNION ALL ".join(f"SELECT '{k}' AS damage, {CODE[n]} AS status, '{next(m for c, _, m in ERRORS if c == CODE[n])}' AS message, count(*) AS n FROM documents WHERE text <> ''" for k, n in _DAMAGE.items())
 
 
-@query(f"{_DAMAGE_SQL} UNION ALL SELECT 'signature', -1, 'not a valid compressed file', count(*) FROM benchmark")
+@query(f"{_DAMAGE_SQL} UNION ALL SELECT 'signature', -1, 'not a valid compressed file', count(*) FROM documents WHERE text <> ''")
 def verify_damaged(spark, sf):
-    packed = S.compress(_items(spark, sf)).select("file_id", "content")
+    packed = S.compress(_docs(spark, sf).where(F.octet_length("content") > 0)).select("file_id", "content")  # the damage is to a block
     out = None
     for kind in (*_DAMAGE, "signature"):
         one = S.verify(S.damage(packed, kind)).groupBy(F.lit(kind).alias("damage"), "status", "message").agg(F.count("*").alias("n"))

@@ -208,7 +208,7 @@ def test_marks_chain_without_decoding():
     for data in (two, two + b"BZ", two + b"tail"):
         streams, blocks = codec.chain(1, codec.marks(data), 8 * len(data))
         _, walked = codec.walk(data)
-        assert streams == 3 and blocks == [(b.bit_off, b.end_bit, s.level) for s in walked for b in s.blocks]
+        assert streams == 3 and blocks == [(b.bit_off, b.end_bit, s.level, i, j) for i, s in enumerate(walked) for j, b in enumerate(s.blocks)]
     assert codec.chain(1, codec.marks(two[:-1]), 8 * len(two) - 8) is None and codec.chain(1, [], 0) is None
     spoilt = bytearray(two)
     spoilt[11] ^= 1  # a stored checksum
