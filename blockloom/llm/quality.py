@@ -217,12 +217,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Fits on labelled rows that are not held out, at most fit_rows of them (of least hash).
 
     Rows with a null key, a null label or a label but 0 and 1 are left out; a key labelled
-    twice counts twice. Without rows of a class the densities are standard and scores follow
+    twice counts twice. A key that several documents bear counts by the text of least hash alone, so
+    the driver gets fit_rows rows at most. Without rows of a class the densities are standard and scores follow
     the prior.
     """
     y = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").where(~held_out("k", held_mod))
     y = y.orderBy(F.xxhash64("k"), "k", "y").limit(fit_rows)
     d = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(y), "k")  # fit_rows small rows
+    d = d.groupBy("k", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = with_statistics(d).select("y", "statistics").toPandas()
     x = np.array(rows["statistics"].tolist(), float).reshape(-1, len(FEATURES))
     return QDA.fit(x, rows["y"].to_numpy(int))

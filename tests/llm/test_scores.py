@@ -2,6 +2,7 @@
 
 import collections
 import math
+import re
 import zlib
 
 import numpy as np
@@ -117,6 +118,66 @@ def test_statistics_do_not_depend_on_neighbours(texts):
     assert np.allclose(sliced, together[3:9])
 
 
+def plain_statistics(text):
+    """The statistics one by one, byte by byte."""
+    b = (text or "").encode()
+    if not b:
+        return [0.0] * len(quality.FEATURES)
+    n = len(b)
+    is_up, is_low, is_digit = (lambda c: 65 <= c <= 90), (lambda c: 97 <= c <= 122), (lambda c: 48 <= c <= 57)
+    is_space, is_high = (lambda c: c == 32 or 9 <= c <= 13), (lambda c: c >= 128)
+    is_punct, is_symbol = (lambda c: c in b".,;:'\"()-?"), (lambda c: c in b"!#$%&*+/<=>@[\\]^_`{|}~")
+    count = lambda f, x=b: sum(map(f, x))
+    share = lambda a, c: a / max(c, 1)
+    words, lines = re.split(rb"[\x20\x09-\x0d]+", b), b.split(b"\n")
+    words = [w for w in words if w]
+    some = lambda line: min(len(line) - count(is_space, line), 12) / 12
+    letters = count(is_up) + count(is_low) + count(is_high)
+    again = [i > 0 and words[i] == words[i - 1] for i in range(len(words))]
+    near = [i > 1 and words[i] == words[i - 2] and not again[i] for i in range(len(words))]
+    in_line = []  # of each word: its line
+    for i, line in enumerate(lines):
+        in_line += [i] * len([w for w in re.split(rb"[\x20\x09-\x0d]+", line) if w])
+    solid = [len(line) - count(is_space, line) for line in lines]
+    worst = lambda f: max(map(f, range(len(lines))))
+    per_line = [sum(j == i for j in in_line) for i in range(len(lines))]
+    again_in = [sum(a for a, j in zip(again, in_line, strict=True) if j == i) for i in range(len(lines))]
+    return [
+        math.log1p(n), math.log(len(lines)), share(sum(map(len, words)), len(words)), share(sum(len(w) > 14 for w in words), len(words)), share(count(is_up), letters), share(count(is_digit), n), share(count(is_symbol), n),
+        share(sum(is_space(b[i]) and is_space(b[i - 1]) for i in range(1, n)) + is_space(b[-1]), n), share(count(is_punct), n), share(count(is_low) + count(is_up), letters),
+        worst(lambda i: share(count(is_up, lines[i]), count(is_up, lines[i]) + count(is_low, lines[i])) * some(lines[i])), worst(lambda i: share(count(is_symbol, lines[i]), solid[i]) * some(lines[i])), worst(lambda i: share(lines[i].count(b"|"), solid[i]) * some(lines[i])),
+        share(sum(count(is_symbol, w) > 0 for w in words), len(words)), share(sum(count(is_up, w) > 1 and count(is_low, w) == 0 for w in words), len(words)),
+        share(sum(b[i] == b[i - 1] and not is_space(b[i]) and not is_low(b[i]) for i in range(1, n)), n), share(sum(0 < k < 20 for k in solid), len(lines)), share(count(lambda c: c in b"aeiouAEIOU"), letters),
+        share(sum(again), len(words)), share(sum(near), len(words)), worst(lambda i: share(again_in[i], per_line[i]) * min(per_line[i] / 6, 1)),
+    ]
+
+
+def test_statistics_equal_plain_ones(texts):
+    t = [*list(texts.values())[:60], "", "a", "!!", "\n\n", "x x x  y y\nA|B|C|D|E|F|G|H|I", " lead AND  Trail ", "é è é 11 22!!", "the the the the the the\nshort\n\n end"]
+    got = quality.statistics(*spans(pa.array(t)))
+    for text, row in zip(t, got, strict=True):
+        assert dict(zip(quality.FEATURES, row.round(9), strict=True)) == dict(zip(quality.FEATURES, np.round(plain_statistics(text), 9), strict=True)), text[:60]
+
+
+def test_discriminant_equals_densities():
+    """Scores against Gaussian log densities by inverse and determinant."""
+    r = np.random.default_rng(0)
+    x = np.abs(r.normal(size=(300, len(quality.FEATURES)))) * (1 + np.arange(300)[:, None] % 2)
+    m = quality.QDA.fit(x, np.arange(300) % 2)
+    z = np.clip((np.sqrt(x) - m.mean) / m.std, -8, 8)
+    ll = [-0.5 * np.einsum("ij,jk,ik->i", z - mu, np.linalg.inv(cov), z - mu) - 0.5 * np.linalg.slogdet(cov)[1] for mu, cov in m.classes]
+    want = 1 / (1 + np.exp(-(m.scale * np.arcsinh(ll[1] - ll[0] + m.prior) + m.shift)))
+    assert np.allclose(m.score(x), want)
+
+
+def test_quality_fit_is_bounded(spark):
+    """A labelled key on many rows counts once."""
+    d = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "good prose here."), (3, "!!!")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id long, quality int")
+    model = quality.fit(d, labels)
+    assert np.isfinite(model.score(np.zeros((1, len(quality.FEATURES))))).all()
+
+
 def test_quality_on_held_out_labels(spark):
     base = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
