@@ -134,6 +134,34 @@ def test_command_line(tmp_path, capfd):
     assert cli.main([str(tmp_path / "none")]) == cli.WARNED
 
 
+def test_command_line_modes(tmp_path, monkeypatch, capfdbinary):
+    """Filters, the program's name, options that exclude each other, ranges."""
+    import io
+
+    def filtered(data, *args, name=""):
+        monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(data)))
+        capfdbinary.readouterr()
+        state = cli.main(list(args), name)
+        return state, capfdbinary.readouterr().out
+
+    data = b"some text " * 50_000
+    state, packed = filtered(data, "-2")
+    assert state == cli.OK and bz2.decompress(packed) == data
+    assert filtered(packed, name="bzcat") == filtered(packed, "-d") == filtered(packed, name="bunzip2") == (cli.OK, data)
+    assert filtered(data, "-dcf") == (cli.OK, data) and filtered(data, "-d")[0] == cli.FATAL
+    assert filtered(packed, "-t") == (cli.OK, b"") and filtered(packed[:-1], "-t")[0] == cli.FATAL
+    assert filtered(b"", "-z", name="bunzip2") == (cli.OK, bz2.compress(b""))
+    for bad in (["-c", "-t"], ["-t", "-c"], ["-n", "0"], ["-n", "x"], ["--no-such"]):
+        assert cli.main(bad, "") == cli.FATAL
+    assert cli.main(["-V"], "") == cli.main(["-h"], "") == cli.OK
+    o = cli.parser("").parse_args(["-t", "-z", "-c"])
+    assert (o.mode, o.out) == ("z", "c")
+    f = tmp_path / "x.txt"
+    f.write_bytes(data)
+    capfdbinary.readouterr()
+    assert cli.main(["-c", str(f)], "") == cli.OK and bz2.decompress(capfdbinary.readouterr().out) == data and f.exists()
+
+
 def test_names_sizes_operands(spark):
     names = ["x.bz2", "x.tbz2", "x.tbz", "x.tz2", "x", ".bz2", "x.bz2.txt"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
