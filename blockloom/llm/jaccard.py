@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from blockloom.llm.common import _forest, components, mix64, stage, text_batches
 
 #: Classes to a tile: a group holds two tiles' sets.
-TILE = 256
+TILE = 128
 #: Words whose hashes a worker remembers.
 CACHED_WORDS = 250_000
 
