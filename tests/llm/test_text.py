@@ -63,14 +63,15 @@ def test_word_encoding_is_the_library_s(tok, texts, monkeypatch, size):
 def test_merges_rebuild_every_piece(tok):
     """Each merge's product, cut into bytes, merges back to itself: merges by rank have no dead ends."""
     encoder = wordbpe.WordEncoder(WORDS)
-    back = {v: k for k, v in wordbpe._byte_letters().items()}
+    letters = wordbpe._byte_letters()
+    back = {v: k for k, v in letters.items()}
     pieces_ = [(i, bytes(back[c] for c in p.removesuffix("</w>"))) for p, i in tok.get_vocab().items() if p.endswith("</w>") and p != "</w>"]
     for n in {len(p) for _, p in pieces_}:
         some = [(i, p) for i, p in pieces_ if len(p) == n]
         for who, ids in encoder.merges.rows(np.frombuffer(b"".join(p for _, p in some), np.uint8).reshape(-1, n)):
             for w, row in zip(who.tolist(), ids.tolist(), strict=True):
                 p = some[w][1]
-                assert row == [t.id for t in tok.model.tokenize("".join(wordbpe._byte_letters()[b] for b in p))]
+                assert row == [t.id for t in tok.model.tokenize("".join(letters[b] for b in p))]
 
 
 def test_frames():
