@@ -109,10 +109,10 @@ def _header(stream_no: int, no: int, level: int, b: codec.Block, shift: int = 0)
     return stream_no, no, b.bit_off + shift, b.end_bit + shift, level, b.stored_crc, b.randomised, b.bwt_idx, b.n_used, b.n_trees, b.n_selectors, b.size, b.status
 
 
-def headers(files: DataFrame) -> DataFrame:
+def headers(files: DataFrame, by_block: bool = True) -> DataFrame:
     """(file_id, stream_no, block_no, bit_off, ...): the confirmed blocks of each file, by the chain from its start.
 
-    Blocks of large regular files are read side by side; other files are walked by one task each.
+    Blocks of large regular files are read side by side; other files are walked by one task each. by_block as in decompress.
     """
 
     def make(data: bytes):
@@ -126,6 +126,8 @@ def headers(files: DataFrame) -> DataFrame:
         b = codec.decode_block(data, skip, key["level"], key["stop"] - key["bit_off"] + skip)
         yield _header(key["stream_no"], key["no"], key["level"], b, key["bit_off"] - skip)
 
+    if not by_block:
+        return per_file(files, _HEADER, make)
     small, large = _large(files)
     plan = plan_blocks(large)
     each = _keyed(_cut_blocks(large, plan), _HEADER, one).withColumn("bad", F.max("status").over(W.partitionBy("key.file_id")) != 0)
@@ -254,13 +256,17 @@ def _large(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files.where(size <= SMALL), files.where(size > SMALL)
 
 
-def decompress(files: DataFrame) -> DataFrame:
+def decompress(files: DataFrame, by_block: bool = True) -> DataFrame:
     """(file_id, part, data, status): plain parts in order of part; a bad file has one row with its error and no data.
 
     Files above SMALL bytes are decoded block by block in parallel, by plan_blocks; a task holds one block. Parts
     of such a file are numbered with gaps. A file whose plan or blocks don't hold is
     read once more as a whole, which names the error or gets around a false magic.
+
+    by_block reads the input several times, so one that is costly to compute is staged first; without it each file is one task's, in one pass.
     """
+    if not by_block:
+        return decompress_whole(files)
     small, large = _large(files)
     plan = plan_blocks(large)
 
@@ -299,17 +305,17 @@ def decompress_whole(files: DataFrame) -> DataFrame:
     return per_file(files, "part int, data binary, status int", make, 8)
 
 
-def pass_through(files: DataFrame) -> DataFrame:
+def pass_through(files: DataFrame, by_block: bool = True) -> DataFrame:
     """As decompress; files that are not compressed streams come back as they are."""
     plain = files.where(E.signature_level(F.col("content")).isNull())
     packed = files.where(E.signature_level(F.col("content")).isNotNull())
-    return decompress(packed).union(plain.select("file_id", F.lit(0).alias("part"), F.col("content").alias("data"), F.lit(0).alias("status")))
+    return decompress(packed, by_block).union(plain.select("file_id", F.lit(0).alias("part"), F.col("content").alias("data"), F.lit(0).alias("status")))
 
 
-def verify(files: DataFrame) -> DataFrame:
+def verify(files: DataFrame, by_block: bool = True) -> DataFrame:
     """(file_id, n_streams, n_blocks, plain_bytes, status, name, message): decodes and checks, keeps no output.
 
-    Large files block by block, as in decompress; those that fail there are walked whole for the error.
+    Large files block by block, as in decompress; those that fail there are walked whole for the error. by_block as there.
     """
     body = "n_streams int, n_blocks int, plain_bytes bigint, status int"
 
@@ -322,14 +328,20 @@ def verify(files: DataFrame) -> DataFrame:
         b = _decode_planned(key, data)
         yield len(b.data), b.status
 
-    small, large = _large(files)
+    small, large = _large(files) if by_block else (files, None)
+    if large is None:
+        return _told(per_file(small, body, make))
     plan = plan_blocks(large)
     each = _keyed(_cut_blocks(large, plan), "plain bigint, status int", one).groupBy("key.file_id").agg(F.count("*").cast("int").alias("n_blocks"), F.sum("plain").alias("plain_bytes"), F.max("status").alias("status"))
     per = plan.groupBy("file_id").agg(F.max("n_streams").alias("n_streams"), F.min(F.coalesce("block_no", F.lit(0))).alias("least")).join(each, "file_id", "left")
     fine = (F.col("least") >= 0) & (F.coalesce("status", F.lit(0)) == 0)
     good = per.where(fine).select("file_id", "n_streams", F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), F.coalesce("plain_bytes", F.lit(0)).alias("plain_bytes"), F.lit(0).alias("status"))
     rest = large.join(per.where(~fine).select("file_id"), "file_id", "left_semi").select("file_id", "content")
-    out = with_messages(per_file(small, body, make).union(good).union(per_file(rest, body, make)))
+    return _told(per_file(small, body, make).union(good).union(per_file(rest, body, make)))
+
+
+def _told(statuses: DataFrame) -> DataFrame:
+    out = with_messages(statuses)
     return out.withColumn("message", F.when(F.col("status") == NOT_COMPRESSED, "not a valid compressed file").otherwise(F.col("message")))
 
 

@@ -388,19 +388,19 @@ def _joined(parts: DataFrame) -> DataFrame:
 
 @query("SELECT doc_id, octet_length(encode(text)) AS plain_bytes, md5(text) AS digest, 0 AS status FROM documents")
 def roundtrip_documents(spark, sf):
-    return _as(_joined(S.decompress(S.compress(_docs(spark, sf)))), "doc_id")
+    return _as(_joined(S.decompress(S.compress(_docs(spark, sf)), False)), "doc_id")
 
 
 @query("SELECT page_id, octet_length(encode(html)) AS plain_bytes, md5(html) AS digest, 0 AS status FROM pages")
 def roundtrip_pages(spark, sf):
     files = C.as_files(_t(spark, sf, "pages"), "page_id", "html")
-    return _as(_joined(S.decompress(S.compress(files, 1, "sequential"))), "page_id")
+    return _as(_joined(S.decompress(S.compress(files, 1, "sequential"), False)), "page_id")
 
 
 @query("SELECT doc_id, octet_length(encode(text)) AS plain_bytes, md5(text) AS digest, 0 AS status FROM documents")
 def roundtrip_native(spark, sf):
     """Through this package's own encoder, stage by stage, and the library's decoder."""
-    return _as(_joined(S.decompress(S.compress(_docs(spark, sf), engine="native"))), "doc_id")
+    return _as(_joined(S.decompress(S.compress(_docs(spark, sf), engine="native"), False)), "doc_id")
 
 
 def _sources(spark, sf):
@@ -431,7 +431,7 @@ def concatenated_streams(spark, sf):
     d = _t(spark, sf, "documents")
     a, b = S.compress(C.as_files(d, "doc_id", "text")), S.compress(C.as_files(d, "doc_id", "lang"), 1)
     both = a.join(b.select("file_id", F.col("content").alias("second")), "file_id").select("file_id", F.concat("content", "second", F.lit(b"BZ")).alias("content"))
-    return _as(_joined(S.decompress(both)), "doc_id")
+    return _as(_joined(S.decompress(both, False)), "doc_id")
 
 
 @query("SELECT page_id, octet_length(encode(html)) AS plain_bytes, md5(html) AS digest, 0 AS status FROM pages")
@@ -439,12 +439,12 @@ def pass_through(spark, sf):
     """Half of the pages compressed, half as they are; all come back."""
     files = C.as_files(_t(spark, sf, "pages"), "page_id", "html")
     mixed = S.compress(files.where("file_id % 2 = 0")).select("file_id", "content").union(files.where("file_id % 2 = 1"))
-    return _as(_joined(S.pass_through(mixed)), "page_id")
+    return _as(_joined(S.pass_through(mixed, False)), "page_id")
 
 
 @query("SELECT doc_id, 0 AS stream_no, 0 AS block_no, 9 AS level, crc::BIGINT AS stored_crc FROM (WITH " + CRCS + " SELECT doc_id, crc FROM c) WHERE crc <> 0")
 def header_table(spark, sf):
-    h = S.headers(S.compress(_docs(spark, sf)).select("file_id", "content"))
+    h = S.headers(S.compress(_docs(spark, sf)).select("file_id", "content"), False)
     return _as(h.select("file_id", "stream_no", "block_no", "level", "stored_crc"), "doc_id")
 
 
@@ -459,7 +459,7 @@ def speculative_decode(spark, sf):
     """Scan, decode every candidate by itself, keep those on the chain, decode what the chain misses, put all in order."""
     packed = S.compress(C.as_files(_t(spark, sf, "pages"), "page_id", "html"), 1).select("file_id", "content")
     decoded = S.decode_candidates(packed, S.scan(packed, 1 << 14))
-    parsed = S.headers(packed)
+    parsed = S.headers(packed, False)
     good = J.block_status(decoded.withColumn("level", F.lit(1))).where("final = 0")
     late = J.block_status(S.decode_missing(packed, J.missing(parsed, good)).withColumn("level", F.lit(1)))
     kept = J.reordered(parsed, good.union(late).select("file_id", "bit_off", "part", "data", "final"))
@@ -468,7 +468,7 @@ def speculative_decode(spark, sf):
 
 @query("SELECT doc_id, 1 AS n_streams, CASE WHEN text = '' THEN 0 ELSE 1 END AS n_blocks, octet_length(encode(text)) AS plain_bytes, 0 AS status, 'OK' AS name, '' AS message FROM documents")
 def verify_documents(spark, sf):
-    return _as(S.verify(S.compress(_docs(spark, sf)).select("file_id", "content")), "doc_id")
+    return _as(S.verify(S.compress(_docs(spark, sf)).select("file_id", "content"), False), "doc_id")
 
 
 _DAMAGE = {"block_crc": "ERR_BLKCRC", "stream_crc": "ERR_STRMCRC", "header": "ERR_HEADER", "cut": "ERR_EOF"}
@@ -480,7 +480,7 @@ def verify_damaged(spark, sf):
     packed = S.compress(_docs(spark, sf).where(F.octet_length("content") > 0)).select("file_id", "content")  # the damage is to a block
     out = None
     for kind in (*_DAMAGE, "signature"):
-        one = S.verify(S.damage(packed, kind)).groupBy(F.lit(kind).alias("damage"), "status", "message").agg(F.count("*").alias("n"))
+        one = S.verify(S.damage(packed, kind), False).groupBy(F.lit(kind).alias("damage"), "status", "message").agg(F.count("*").alias("n"))
         out = out.union(one) if out is not None else one
     return out
 
