@@ -242,6 +242,33 @@ def code_lengths(freq: list[int], limit: int = MAX_LENGTH) -> list[int]:
     return depth if max(depth) <= limit else limited_lengths(freq, limit)
 
 
+def tree_bits(lengths: list[int]) -> int:
+    """Bits that a tree takes in a block's header: a first length, then a bit a symbol and two a step."""
+    return 5 + len(lengths) + 2 * sum(abs(a - b) for a, b in zip(lengths, lengths[1:], strict=False))
+
+
+def cheapest_lengths(freq: list[int]) -> list[int]:
+    """Of the optimal lengths for each limit those that cost least with their tree: flatter trees take fewer steps to write.
+
+    Packages for a limit come from those for the limit below, so one pass gives them all.
+    """
+    n, best, least = len(freq), [], 0
+    coins = sorted((max(f, 1), (i,)) for i, f in enumerate(freq))
+    row: list[tuple[int, tuple[int, ...]]] = []
+    for limit in range(1, MAX_LENGTH + 1):
+        row = sorted(coins + [(a[0] + b[0], a[1] + b[1]) for a, b in zip(row[::2], row[1::2], strict=False)], key=lambda x: x[0])
+        if 1 << limit < n:
+            continue
+        count = np.bincount(np.fromiter((i for _, who in row[: 2 * n - 2] for i in who), np.int64), minlength=n)
+        lengths = count.tolist()
+        cost = int(np.dot(count, freq)) + tree_bits(lengths)
+        if not best or cost < least:
+            best, least = lengths, cost
+        if max(lengths) < limit:
+            break
+    return best
+
+
 def canonical(lengths: list[int]) -> list[int]:
     """Codes in order of (length, symbol)."""
     codes, code, last = [0] * len(lengths), 0, 0
@@ -270,6 +297,7 @@ def choose_trees(syms: list[int], n_alpha: int, rounds: int = 8) -> tuple[list[l
         count = np.zeros((k, n_alpha), np.int64)
         np.add.at(count, (select[group], s), 1)
         table = np.array([code_lengths(c.tolist()) for c in count])
+    table = np.array([cheapest_lengths(c.tolist()) for c in count])
     used = list(dict.fromkeys(select.tolist()))  # trees in order of first use; unused ones are left out, but a block has two at least
     used += [t for t in range(k) if t not in used][: max(0, 2 - len(used))]
     place = {t: i for i, t in enumerate(used)}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from blockloom.schema import CODE
+
 MASK = 0xFFFFFFFF
 #: Hex digits with their four bits reversed, in order of the digit.
 _NIBBLES = "".join(f"{int(f'{i:04b}'[::-1], 2):X}" for i in range(16))
@@ -63,10 +65,10 @@ def output_name(name: Column) -> Column:
 
 def size_literal(text: Column, lower: int = 0, upper: int = (1 << 63) - 1) -> Column:
     """A count with an optional K, M, G, T, P or E (powers of 1024, any case); null if malformed or out of bounds."""
-    digits = F.regexp_extract(text, r"^\s*\+?([0-9]{1,18})[EePpTtGgMmKk]?$", 1)
+    digits = F.regexp_extract(text, r"^\s*\+?([0-9]+)[EePpTtGgMmKk]?$", 1)
     unit = F.upper(F.regexp_extract(text, r"([EePpTtGgMmKk])$", 1))
     shift = F.when(unit == "", 0).otherwise(F.instr(F.lit("KMGTPE"), unit) * 10)
-    value = F.when(digits != "", digits.cast("bigint"))
+    value = F.when(digits != "", digits.try_cast("bigint"))
     fits = value <= F.call_function("shiftrightunsigned", F.lit((1 << 63) - 1), shift.cast("int"))
     scaled = F.call_function("shiftleft", value, shift.cast("int"))
     return F.when(fits & scaled.between(lower, upper), scaled)
@@ -98,3 +100,21 @@ def stream_trailer(crc: Column) -> Column:
 def padding_bits(n_bits: Column) -> Column:
     """Bits that bring a block to a whole byte."""
     return F.pmod(-n_bits, F.lit(8))
+
+
+def structural_status(n_used: Column, n_trees: Column, n_groups: Column, top_rank: Column, least_length: Column, most_length: Column, ended: Column, n_out: Column, bwt_idx: Column) -> Column:
+    """Error code of a block by its fields, the first fault in reading order; 0 if none of them shows one. Fields behind a fault may be null."""
+    rules = [
+        ("ERR_BITMAP", n_used == 0),
+        ("ERR_TREES", ~n_trees.between(2, 6)),
+        ("ERR_GROUPS", n_groups == 0),
+        ("ERR_SELECTOR", top_rank >= n_trees),
+        ("ERR_DELTA", (least_length < 1) | (most_length > 20)),
+        ("ERR_UNTERM", ~ended),
+        ("ERR_EMPTY", n_out == 0),
+        ("ERR_BWTIDX", bwt_idx >= n_out),
+    ]
+    out = F
+    for name, fault in rules:
+        out = out.when(fault, CODE[name])
+    return out.otherwise(0)

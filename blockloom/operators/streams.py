@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from blockloom.functions import bits, codec
+from blockloom.functions import bits, codec, layout
 from blockloom.functions import expressions as E
 from blockloom.operators.columns import per_file
 from blockloom.operators.confirm import with_messages
@@ -79,6 +79,29 @@ def _small(data: bytes, level: int, split: str, engine: str) -> tuple[bytes, int
     return codec.assemble(level, blocks), len(blocks)
 
 
+def align(blocks: DataFrame) -> DataFrame:
+    """Blocks of encode_blocks, each lengthened to whole bytes, so that streams are made by joining bytes."""
+    rest = [c for c in blocks.columns if c not in ("bits", "n_bits")]
+    key = F.struct(*rest, "n_bits").alias("key")
+    out = _keyed(blocks.select(key, F.col("bits").alias("content")), "bits binary, n_bits bigint", lambda k, data: [layout.align(data, k["n_bits"])])
+    return out.select(*(F.col(f"key.{c}") for c in rest), "bits", "n_bits").select(*blocks.columns)
+
+
+def stream_parts(blocks: DataFrame, level: int = 9) -> DataFrame:
+    """(file_id, major, minor, data): what makes up each file's stream if joined in order of (major, minor).
+
+    Of aligned blocks. The header is at major -1, the trailer behind the last block. Only
+    checksums meet by file, 40 bytes a block: blocks stay where they were encoded, so a file of any size is never in one task.
+    """
+    place = F.row_number().over(W.partitionBy("file_id").orderBy("major", "minor")) - 1
+    n = F.count("*").over(W.partitionBy("file_id"))
+    crcs = blocks.select("file_id", "major", "minor", "crc").withColumns({"place": place, "n": n})
+    ends = crcs.groupBy("file_id").agg(F.max("major").alias("last"), E.combined_crc(F.col("crc"), F.col("place"), F.col("n")).alias("crc"))
+    head = F.struct(F.lit(-1).cast("bigint").alias("major"), F.lit(0).alias("minor"), E.stream_header(F.lit(level)).alias("data"))
+    tail = F.struct((F.col("last") + 1).alias("major"), F.lit(0).alias("minor"), E.stream_trailer(F.col("crc")).alias("data"))
+    return blocks.select("file_id", "major", "minor", F.col("bits").alias("data")).union(ends.select("file_id", F.inline(F.array(head, tail))))
+
+
 # --- expand
 
 
@@ -382,3 +405,23 @@ def damage(packed: DataFrame, kind: str) -> DataFrame:
 
     return per_file(packed, "content binary", make, 64)
 
+
+
+def spoil(packed: DataFrame, kind: str) -> DataFrame:
+    """(file_id, content) of streams with a block or more, each with the fault that column `kind` names, one of layout.KINDS."""
+    key = F.struct("file_id", kind).alias("key")
+    out = _keyed(packed.select(key, "content"), "content binary", lambda k, data: [(layout.spoil(data, k[kind]),)])
+    return out.select("key.file_id", "content")
+
+
+def block_fields(files: DataFrame) -> DataFrame:
+    """(file_id, bit_off, fields of the block): every block that the chain reaches, a broken one too; see expressions.structural_status."""
+    body = "bit_off bigint, n_used int, n_trees int, n_groups int, top_rank int, least_length int, most_length int, ended boolean, n_out int, bwt_idx int"
+
+    def make(data: bytes):
+        for s in codec.walk(data, sizes=False)[1]:
+            for b in s.blocks:
+                f = layout.fields(data, b.bit_off)
+                yield b.bit_off, f.n_used, f.n_trees, f.n_groups, f.top_rank, f.least_length, f.most_length, f.ended, f.n_out, f.bwt_idx
+
+    return per_file(files, body, make)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import codec
 from blockloom.functions import expressions as E
+from blockloom.functions.layout import KINDS
 from blockloom.operators import columns as C
 from blockloom.operators import confirm as J
 from blockloom.operators import streams as S
@@ -485,6 +486,32 @@ def verify_damaged(spark, sf):
     return out
 
 
+_KIND = [next(c for c, n, _ in ERRORS if n == kind) for kind in KINDS]
+_FIELD_KINDS = ("ERR_BITMAP", "ERR_TREES", "ERR_GROUPS", "ERR_SELECTOR", "ERR_DELTA", "ERR_EMPTY", "ERR_UNTERM", "ERR_BWTIDX")
+
+
+@query(f"SELECT doc_id, status, message, CASE WHEN status IN ({', '.join(str(CODE[k]) for k in _FIELD_KINDS)}) THEN status ELSE 0 END AS by_fields FROM (SELECT doc_id, {_KIND}[doc_id % {len(KINDS)} + 1] AS status FROM documents WHERE text <> '') JOIN (VALUES {', '.join(f"({c}, '{m}')" for c, _, m in ERRORS)}) e(code, message) ON code = status")
+def error_taxonomy(spark, sf):
+    """Each stream with one fault, of every kind in turn: what verify says, and what the predicates on block fields say of those that they know."""
+    docs = _docs(spark, sf).where(F.octet_length("content") > 0)
+    packed = S.compress(docs).select("file_id", "content").withColumn("kind", F.get(F.array(*map(F.lit, KINDS)), (F.col("file_id") % len(KINDS)).cast("int")))
+    bad = S.spoil(packed, "kind")
+    names = ("n_used", "n_trees", "n_groups", "top_rank", "least_length", "most_length", "ended", "n_out", "bwt_idx")
+    seen = S.block_fields(bad).groupBy("file_id").agg(F.max(E.structural_status(*map(F.col, names))).alias("by_fields"))
+    told = S.verify(bad, False).select("file_id", "status", "message").join(seen, "file_id", "left")
+    return _as(told.withColumn("by_fields", F.coalesce("by_fields", F.lit(0))), "doc_id")
+
+
+@query(f"SELECT source, octet_length(encode(text)) AS plain_bytes, md5(text) AS digest, 0 AS status, true AS whole FROM ({_SOURCES})")
+def aligned_streams(spark, sf):
+    """Blocks of whole bytes; streams are their bytes joined in order, and decode to the texts."""
+    blocks = S.align(S.encode_blocks(_sources(spark, sf), 1))
+    parts = S.stream_parts(blocks, 1).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("major", "minor", F.hex("data").alias("data")))).alias("p"))
+    files = parts.select("file_id", F.unhex(F.array_join(F.transform("p", lambda x: x["data"]), "")).alias("content"))
+    bits = blocks.groupBy("file_id").agg(F.bool_and((F.col("n_bits") % 8 == 0) & (F.col("n_bits") == 8 * F.octet_length("bits"))).alias("whole"))
+    return _as(_joined(S.decompress(files)).join(bits, "file_id"), "source")
+
+
 @query()
 def compression_stats(spark, sf):
     docs = _docs(spark, sf)

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from blockloom.functions import bits, codec
+from blockloom.functions import bits, codec, layout
 from blockloom.schema import CODE
 
 RUNS = st.lists(st.tuples(st.sampled_from(b"ab\x00\xff"), st.sampled_from([1, 2, 3, 4, 5, 255, 258, 259, 260, 261, 518, 519])), max_size=12).map(lambda x: b"".join(bytes([b]) * n for b, n in x))
@@ -213,3 +213,37 @@ def test_marks_chain_without_decoding():
     spoilt = bytearray(two)
     spoilt[11] ^= 1  # a stored checksum
     assert codec.chain(1, codec.marks(bytes(spoilt)), 8 * len(two)) is None
+
+
+@pytest.mark.parametrize("engine", ["library", "native"])
+def test_aligned_blocks_decode_to_the_same(engine):
+    r, seen = random.Random(5), set()
+    for _ in range(60):
+        data = r.randbytes(r.randint(1, 60))
+        packed, n, crc, _ = codec.encode_block(data, engine)
+        whole, m = layout.align(packed, n)
+        seen.add(m - n)
+        stream = b"BZh9" + whole * 3 + codec.assemble(9, [])[4:10] + bits.combine([crc] * 3).to_bytes(4, "big")
+        assert m == 8 * len(whole) and 0 <= m - n < 8 and bz2.decompress(stream) == data * 3 and codec.decode_block(stream, 32).data == data
+    assert seen == set(range(8))
+
+
+@pytest.mark.parametrize("data", [b"x", b"hello world " * 50, random.Random(3).randbytes(250_000), b"a" * 900_000])
+def test_every_fault_is_named(data):
+    for kind in layout.KINDS:
+        assert code(layout.spoil(bz2.compress(data), kind)) == CODE[kind]
+
+
+@pytest.mark.parametrize("freq", [[5, 1], [1 << i for i in range(40)], [0, 0, 5, 1], [3] * 258, [random.Random(9).randint(0, 900) for _ in range(60)]])
+def test_cheapest_lengths_against_each_limit(freq):
+    cost = lambda n: sum(f * x for f, x in zip(freq, n, strict=True)) + codec.tree_bits(n)
+    lengths = codec.cheapest_lengths(freq)
+    assert sum(2.0**-x for x in lengths) == 1 and max(lengths) <= 20
+    assert cost(lengths) == min(cost(codec.limited_lengths(freq, n)) for n in range(1, 21) if 1 << n >= len(freq))
+
+
+def test_randomised_blocks_below_the_first_flip():
+    """The legacy flag; bytes are flipped from the 618th on only, so that a short block reads the same with it."""
+    _, streams = codec.walk(spoil(112, 1, 1))
+    b = streams[0].blocks[0]
+    assert b.randomised and b.status == 0 and b.data == codec.decompress(Z) and b.size < 617

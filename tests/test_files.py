@@ -14,7 +14,7 @@ from blockloom.operators import columns as C
 from blockloom.operators import confirm as J
 from blockloom.operators import streams as S
 from blockloom.sources.files import granule, operands, read_files, register
-from blockloom.streaming.arrivals import decompressed, drain
+from blockloom.streaming.arrivals import blocks_of_arrivals, decompressed, drain
 
 
 @pytest.fixture(scope="module")
@@ -120,6 +120,24 @@ def test_stream_of_arrivals(spark, folder, tmp_path):
     assert drain(decompressed(spark, str(folder), 2), str(tmp_path / "t"), str(tmp_path / "c")).count() == out.count()
 
 
+def test_blocks_of_chunks_that_arrive_over_time(spark, tmp_path):
+    r = random.Random(4)
+    files = {"a": b"".join(bytes([r.randrange(3)]) * r.randint(1, 300) for _ in range(3000)), "b": r.randbytes(230_000), "c": b"", "d": b"z" * 99_999}
+    rows = []
+    for name, data in files.items():
+        cuts = [*range(0, len(data), 31_000)] or [0]
+        rows += [(name, lo, data[lo : lo + 31_000], lo == cuts[-1]) for lo in cuts]
+    rows += rows[:3]
+    r.shuffle(rows)
+    schema = "file_id string, byte_off bigint, data binary, last boolean"
+    for i in range(3):
+        spark.createDataFrame(rows[i::3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = drain(blocks_of_arrivals(arriving, 1), str(tmp_path / "t"), str(tmp_path / "c")).collect()
+    want = [(k, i, a, b - a, v[a:b]) for k, v in files.items() for i, (_, _, a, b) in enumerate(codec.split_sequential(v, 100_000))]
+    assert sorted((x.file_id, x.block_no, x.raw_off, x.raw_len, bytes(x.data)) for x in got) == sorted(want)
+
+
 def test_command_line(tmp_path, capfd):
     a, b, c = (str(tmp_path / n) for n in ("a.txt", "b.txt", "done.bz2"))
     for f in (a, b, c):
