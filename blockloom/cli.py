@@ -89,6 +89,20 @@ def _filter(spark, o) -> int:
     return OK
 
 
+class _Failed(Exception):
+    pass
+
+
+def _create(name: str, force: bool) -> None:
+    """A new file that only its owner may read until it is whole; one that exists is taken away first under -f, else refused."""
+    try:
+        if force and os.path.lexists(name):
+            os.unlink(name)
+        os.close(os.open(name, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600))
+    except FileExistsError:
+        raise _Failed(f'"{name}" exists') from None
+
+
 def main(argv: list[str] | None = None, name: str | None = None) -> int:
     """Status 0, 1 after a fatal error, 4 where something was skipped."""
     given = [w for v in ("BZIP2", "BZIP") for w in shlex.split(os.environ.get(v, ""))]
@@ -144,25 +158,28 @@ def main(argv: list[str] | None = None, name: str | None = None) -> int:
     else:
         parts = streams.pass_through(files) if o.stdout and o.force else streams.decompress(files)
         out = parts.select("file_id", E.output_name(F.col("file_id")).alias("name"), "part", F.col("data").alias("content"), "status")
-    for r in out.orderBy("file_id", "part").toLocalIterator():
-        if r.status:
-            print(f'blockloom: "{r.file_id}": cannot be decompressed', file=sys.stderr)
-            for n in made:
-                if made[n][0] == r.file_id:
-                    os.unlink(n)
-            return FATAL
-        if o.stdout:
-            sys.stdout.buffer.write(bytes(r.content))
-            continue
-        if r.name not in made:
-            if os.path.exists(r.name) and not o.force:
-                print(f'blockloom: "{r.name}" exists', file=sys.stderr)
-                return FATAL
-            made[r.name] = [r.file_id, 0]
-            open(r.name, "wb").close()
-        with open(r.name, "ab") as f:
-            f.write(bytes(r.content))
-        made[r.name][1] += len(r.content)
+    try:
+        for r in out.orderBy("file_id", "part").toLocalIterator():
+            if r.status:
+                raise _Failed(f'"{r.file_id}": cannot be decompressed')
+            if o.stdout:
+                sys.stdout.buffer.write(bytes(r.content))
+                continue
+            if r.name not in made:
+                _create(r.name, o.force)
+                made[r.name] = [r.file_id, 0]
+            with open(r.name, "ab") as f:
+                f.write(bytes(r.content))
+            made[r.name][1] += len(r.content)
+    except BaseException as e:
+        # files before this one are whole and stay; if the job itself failed, the last one may not be
+        for n in [n for n in list(made)[-1:] if not isinstance(e, _Failed) or made[n][0] == r.file_id]:
+            os.unlink(n)
+            del made[n]
+        if not isinstance(e, _Failed):
+            raise
+        print(f"blockloom: {e}", file=sys.stderr)
+        state = FATAL
     for name, (source, n) in made.items():
         st = os.stat(source)
         os.chmod(name, st.st_mode & 0o777)

@@ -105,18 +105,39 @@ def run_table(files: DataFrame) -> DataFrame:
     return files.select("file_id", "content").mapInArrow(run, full)
 
 
+def _coded(length: np.ndarray) -> np.ndarray:
+    """Bytes that whole runs take after initial run-length coding, as expressions.rle_length."""
+    rest = length % codec.RUN
+    return length // codec.RUN * 5 + np.where(rest < 4, rest, 5)
+
+
 def run_summary(files: DataFrame) -> DataFrame:
-    """(file_id, n_bytes, n_runs, longest, n_long, encoded_len): runs of a file; n_long of 4 and more."""
-    runs = run_table(files)
-    return runs.groupBy("file_id").agg(F.sum("len").alias("n_bytes"), F.count("*").alias("n_runs"), F.max("len").alias("longest"), F.sum((F.col("len") >= 4).cast("bigint")).alias("n_long"), F.sum(E.rle_length(F.col("len"))).alias("encoded_len"))
+    """(file_id, n_bytes, n_runs, longest, n_long, encoded_len): runs of a file; n_long of 4 and more. An empty file has no row."""
+
+    def make(data: bytes):
+        length = codec.runs(data)[2]
+        if len(length):
+            yield len(data), len(length), int(length.max()), int((length >= 4).sum()), int(_coded(length).sum())
+
+    return per_file(files, "n_bytes bigint, n_runs bigint, longest bigint, n_long bigint, encoded_len bigint", make)
 
 
 def split_estimate(files: DataFrame, limit: int) -> DataFrame:
-    """(file_id, block_no, n_runs, n_bytes): blocks estimated from the running sum of whole runs' coded length."""
-    before = W.partitionBy("file_id").orderBy("run_no").rowsBetween(W.unboundedPreceding, -1)
-    runs = run_table(files).withColumn("coded", E.rle_length(F.col("len")))
-    runs = runs.withColumn("block_no", F.floor(F.coalesce(F.sum("coded").over(before), F.lit(0)) / F.lit(limit)))
-    return runs.groupBy("file_id", "block_no").agg(F.count("*").alias("n_runs"), F.sum("len").alias("n_bytes"))
+    """(file_id, block_no, n_runs, n_bytes): blocks estimated from the running sum of whole runs' coded length.
+
+    Sums are made where the bytes are, so that a row leaves per block and none per run.
+    """
+
+    def make(data: bytes):
+        length = codec.runs(data)[2]
+        if len(length):
+            coded = _coded(length)
+            block = (np.cumsum(coded) - coded) // limit
+            first = np.flatnonzero(np.diff(block, prepend=-1))
+            n_runs = np.diff(first, append=len(block))
+            yield from zip(block[first].tolist(), n_runs.tolist(), np.add.reduceat(length, first).tolist(), strict=True)
+
+    return per_file(files, "block_no bigint, n_runs bigint, n_bytes bigint", make)
 
 
 def rle(files: DataFrame) -> DataFrame:

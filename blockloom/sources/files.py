@@ -100,11 +100,16 @@ class _FileWriter(DataSourceWriter):
         files, root = fs.FileSystem.from_uri(self.path)
         files.create_dir(root, recursive=True)
         names = []
-        for row in rows:
-            temporary = f"{root}/.{uuid.uuid4().hex}"
-            with files.open_output_stream(temporary) as out:
-                out.write(bytes(row["content"]))
-            names.append((temporary, f"{root}/{quote(row['name'], safe=' ')}"))  # distinct names stay distinct
+        try:
+            for row in rows:
+                names.append((f"{root}/.{uuid.uuid4().hex}", f"{root}/{quote(row['name'], safe=' ')}"))  # distinct names stay distinct
+                with files.open_output_stream(names[-1][0]) as out:
+                    out.write(bytes(row["content"]))
+        except BaseException:  # a task that fails sends no message, so abort() would not know its files
+            for temporary, _ in names:
+                if files.get_file_info(temporary).type != fs.FileType.NotFound:
+                    files.delete_file(temporary)
+            raise
         return _Written(names)
 
     def commit(self, messages):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockloom import cli
-from blockloom.functions import bits, codec
+from blockloom.functions import bits, codec, layout
 from blockloom.functions import expressions as E
 from blockloom.operators import columns as C
 from blockloom.operators import confirm as J
@@ -152,6 +152,28 @@ def test_command_line(tmp_path, capfd):
     assert cli.main([str(tmp_path / "none")]) == cli.WARNED
 
 
+def test_command_line_keeps_whole_files_and_removes_partial_ones(tmp_path, capfd):
+    """Of three files the second is damaged in its last block: the first is done, the second leaves nothing, the third is not begun."""
+    data = random.Random(1).randbytes(250_000)
+    packed = codec.compress(data, 1)
+    for name, content in (("a", packed), ("b", layout.patched(packed, 8 * len(packed) - 40, 32, 7)), ("c", packed)):
+        (tmp_path / f"{name}.bz2").write_bytes(content)
+    assert cli.main(["-d", *(str(tmp_path / f"{n}.bz2") for n in "abc")]) == cli.FATAL
+    assert sorted(os.listdir(tmp_path)) == ["a", "b.bz2", "c.bz2"] and (tmp_path / "a").read_bytes() == data
+    old = tmp_path / "c"
+    old.symlink_to(tmp_path / "a")
+    assert cli.main(["-d", str(tmp_path / "c.bz2")]) == cli.FATAL and old.is_symlink()
+    assert cli.main(["-df", str(tmp_path / "c.bz2")]) == cli.OK and not old.is_symlink() and old.read_bytes() == data
+
+
+def test_sink_leaves_nothing_of_failed_tasks(spark, tmp_path):
+    register(spark)
+    broken = spark.range(6).coalesce(1).select(F.col("id").cast("string").alias("name"), F.when(F.col("id") < 4, F.lit(b"x")).alias("content"))
+    with pytest.raises(Exception):
+        broken.write.format("bz2files").mode("overwrite").option("path", f"file://{tmp_path}/out").save()
+    assert os.listdir(tmp_path / "out") == []
+
+
 def test_command_line_modes(tmp_path, monkeypatch, capfdbinary):
     """Filters, the program's name, options that exclude each other, ranges."""
     import io
@@ -184,9 +206,9 @@ def test_names_sizes_operands(spark):
     names = ["x.bz2", "x.tbz2", "x.tbz", "x.tz2", "x", ".bz2", "x.bz2.txt"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert [r[0] for r in df.select(E.output_name(F.col("n"))).collect()] == ["x", "x.tar", "x.tar", "x.tar", "x.out", "", "x.bz2.txt.out"]
-    sizes = ["5", "2k", "3M", "1E", "9E", "", "k", "1kk", "-1", "12x", " 7"]
+    sizes = ["5", "2k", "3M", "1E", "9E", str((1 << 63) - 1), str(1 << 63), "0" * 30 + "5k", "", "k", "1kk", "-1", "12x", " 7"]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n string").select(E.size_literal(F.col("n"))).collect()]
-    assert got == [5, 2048, 3 << 20, 1 << 60, None, None, None, None, None, None, 7]
+    assert got == [5, 2048, 3 << 20, 1 << 60, None, (1 << 63) - 1, None, 5120, None, None, None, None, None, 7]
     m = spark.createDataFrame([("a", True, 1), ("b.tbz", True, 1), ("c", False, 1), ("d", True, 2)], "name string, regular boolean, links int")
     assert [r.skip for r in operands(m).collect()] == [None, "compressed suffix", "not a regular file", "more than one links"]
     assert [r.skip for r in operands(m, force=True).collect()] == [None, "compressed suffix", None, None]
