@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
+
 BLOCK_MAGIC, END_MAGIC = 0x314159265359, 0x177245385090
 MASK = 0xFFFFFFFF
 _FLIP = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
@@ -56,6 +58,14 @@ class Writer:
         return bytes(self.out) + (bytes([self.rest << (8 - self.n)]) if self.n else b"")
 
 
+def pack(values: np.ndarray, widths: np.ndarray) -> tuple[bytes, int]:
+    """(bits, their number) of values one after the other, each in its width."""
+    end = np.cumsum(widths)
+    n = int(end[-1])
+    left = np.repeat(end, widths) - np.arange(n) - 1  # bits of the same value behind this one
+    return np.packbits((np.repeat(values, widths) >> left & 1).astype(np.uint8)).tobytes(), n
+
+
 def find_magics(data: bytes, magic: int) -> list[int]:
     """Bit offsets of a 48-bit pattern at any alignment: five whole bytes are sought, the edges compared."""
     found = []

@@ -126,20 +126,32 @@ def split_sequential(data: bytes, limit: int) -> list[tuple[int, int, int, int]]
 
 
 def bwt(data: bytes) -> tuple[bytes, int]:
-    """Last column of the sorted rotations and the row of the text; equal rotations by position. Prefix doubling."""
+    """Last column of the sorted rotations and the row of the text; equal rotations by position.
+
+    Rotations are sorted by seven bytes, then by doubling, in which only those take part whose rank is shared.
+    """
     n = len(data)
     if n == 0:
         return b"", 0
     a = np.frombuffer(data, np.uint8)
-    _, rank = np.unique(a, return_inverse=True)
-    rank, k = rank.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while k < n and rank.max() < n - 1:
-        key = rank * n + np.roll(rank, -k % n)
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
+    key, k = np.zeros(n, np.int64), 7
+    for j in range(k):
+        key = key << 8 | np.roll(a, -(j % n))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    rank = np.empty(n, np.int64)  # the place of the first rotation that is equal as far as is known
+    place, who = np.arange(n), order
+    while True:
+        first = np.append(True, key[1:] != key[:-1])
+        rank[who] = place[np.maximum.accumulate(np.where(first, np.arange(len(place)), 0))]
+        shared = ~(first & np.append(first[1:], True))
+        place, who = place[shared], who[shared]
+        if k >= n or not len(place):
+            break
+        key = rank[who] * n + rank[(who + k) % n]
+        by = np.argsort(key, kind="stable")
+        key, who = key[by], who[by]
+        order[place] = who
         k *= 2
     return a[order - 1].tobytes(), int(np.flatnonzero(order == 0)[0])
 
@@ -163,14 +175,19 @@ def ibwt(last: bytes, index: int) -> bytes:
 
 
 def mtf(data: bytes | list[int], alphabet: list[int]) -> list[int]:
-    front, out = list(alphabet), []
-    for b in data:
+    """Rank of each byte among those seen last; a repeated byte has rank 0, so only changes are looked at one by one."""
+    a = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else np.array(data, np.int64)
+    out, front = np.zeros(len(a), np.int64), list(alphabet)
+    change = np.flatnonzero(np.append(True, a[1:] != a[:-1])[: len(a)])
+    ranks = []
+    for b in a[change].tolist():
         i = front.index(b)
-        out.append(i)
+        ranks.append(i)
         if i:
             del front[i]
             front.insert(0, b)
-    return out
+    out[change] = ranks
+    return out.tolist()
 
 
 def imtf(ranks: list[int], alphabet: list[int]) -> list[int]:
@@ -195,16 +212,15 @@ def zero_run(n: int) -> list[int]:
 
 def symbols(ranks: list[int], n_used: int) -> list[int]:
     """Ranks above 0 are symbols one higher; the last symbol ends the block."""
-    out, zeros = [], 0
-    for r in ranks:
-        if r:
-            if zeros:
-                out += zero_run(zeros)
-                zeros = 0
-            out.append(r + 1)
-        else:
-            zeros += 1
-    return out + zero_run(zeros) + [n_used + 1]
+    r = np.array(ranks, np.int64)
+    at = np.flatnonzero(r)
+    zeros = np.diff(at, prepend=-1) - 1
+    out: list[int] = []
+    for n, s in zip(zeros.tolist(), (r[at] + 1).tolist(), strict=True):
+        if n:
+            out += zero_run(n)
+        out.append(s)
+    return out + zero_run(len(r) - 1 - int(at[-1]) if len(at) else len(r)) + [n_used + 1]
 
 
 # --- prefix codes
@@ -339,12 +355,10 @@ def encode_native(raw: bytes) -> tuple[bytes, int]:
                 w.put(0b11, 2)
                 now -= 1
             w.put(0, 1)
-    codes = [canonical(t) for t in trees]
-    for g, t in enumerate(select):
-        value = n = 0
-        for s in syms[GROUP * g : GROUP * (g + 1)]:
-            value, n = value << trees[t][s] | codes[t][s], n + trees[t][s]
-        w.put(value, n)
+    tree = np.repeat(select, GROUP)[: len(syms)]
+    code, length = np.array([canonical(t) for t in trees])[tree, syms], np.array(trees)[tree, syms]
+    for lo in range(0, len(syms), 1 << 16):
+        w.put_bits(*bits.pack(code[lo : lo + (1 << 16)], length[lo : lo + (1 << 16)]))
     n_bits = 8 * len(w.out) + w.n
     return w.done(), n_bits
 
@@ -486,23 +500,52 @@ def _fields(r: _Reader, b: Block) -> tuple[list[int], list[list[int]], list[int]
     return used, trees, imtf(ranks, list(range(b.n_trees)))
 
 
+#: Bits that find a symbol at once; longer codes are sought by length.
+_PEEK = 10
+
+
+def _decoder(lengths: list[int]) -> tuple[list[tuple[int, int] | None], dict[tuple[int, int], int]]:
+    """((symbol, length) by the next bits, symbols of longer codes by (length, code)) of a complete prefix code."""
+    fast: list[tuple[int, int] | None] = [None] * (1 << _PEEK)
+    long = {}
+    for s, (n, c) in enumerate(zip(lengths, canonical(lengths), strict=True)):
+        if n > _PEEK:
+            long[n, c] = s
+        else:
+            fast[c << (_PEEK - n) : (c + 1) << (_PEEK - n)] = [(s, n)] * (1 << (_PEEK - n))
+    return fast, long
+
+
 def _symbols(r: _Reader, b: Block, used: list[int], trees: list[list[int]], select: list[int]) -> bytes:
     """The last column: prefix codes, move to front and zero runs undone together."""
     tables = {}
     front, out = list(used), bytearray()
     run, unit = 0, 1
+    data, at, size = r.data, r.at, len(r.data)
     eob = len(used) + 1
     for t in select[:18001]:
         if t not in tables:
             kraft = sum(1 << (MAX_LENGTH - n) for n in trees[t])
             if kraft != 1 << MAX_LENGTH:
                 raise Broken("ERR_PREFIX" if kraft > 1 << MAX_LENGTH else "ERR_INCOMPLT")
-            tables[t] = {(n, c): s for s, (n, c) in enumerate(zip(trees[t], canonical(trees[t]), strict=True))}
-        table = tables[t]
+            tables[t] = _decoder(trees[t])
+        fast, long = tables[t]
         for _ in range(GROUP):
-            n, code = 1, r.get(1)
-            while (s := table.get((n, code))) is None:
-                n, code = n + 1, code << 1 | r.get(1)
+            byte = at >> 3
+            word = int.from_bytes(data[byte : byte + 4], "big")
+            if byte + 4 > size:
+                word <<= 8 * min(4, byte + 4 - size)
+            word = word >> (32 - MAX_LENGTH - (at & 7)) & ((1 << MAX_LENGTH) - 1)
+            found = fast[word >> (MAX_LENGTH - _PEEK)]
+            if found:
+                s, n = found
+            else:
+                n = _PEEK + 1
+                while (s := long.get((n, word >> (MAX_LENGTH - n)))) is None:
+                    n += 1
+            at += n
+            if at > r.end:
+                raise Broken("ERR_EOF")
             if s < 2:
                 run += unit << s
                 unit <<= 1
@@ -517,6 +560,7 @@ def _symbols(r: _Reader, b: Block, used: list[int], trees: list[list[int]], sele
                     raise Broken("ERR_OVERFLOW")
                 if not out:
                     raise Broken("ERR_EMPTY")
+                r.at = at
                 return bytes(out)
             c = front.pop(s - 1)
             front.insert(0, c)

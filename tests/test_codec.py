@@ -247,3 +247,33 @@ def test_randomised_blocks_below_the_first_flip():
     _, streams = codec.walk(spoil(112, 1, 1))
     b = streams[0].blocks[0]
     assert b.randomised and b.status == 0 and b.data == codec.decompress(Z) and b.size < 617
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(RUNS, st.binary(max_size=40), st.tuples(st.binary(min_size=1, max_size=9), st.integers(1, 12)).map(lambda x: x[0] * x[1])))
+def test_stages_against_plain_code(data):
+    """Rotation sort with equal rotations by position, move to front and zero runs, one by one."""
+    rows = sorted(range(len(data)), key=lambda i: (data[i:] + data[:i], i))
+    last, index = codec.bwt(data)
+    assert last == bytes(data[i - 1] for i in rows) and (not data or rows[index] == 0)
+    front, ranks, out, zeros = sorted(set(data)), [], [], 0
+    for b in last:
+        ranks.append(front.index(b))
+        front.insert(0, front.pop(ranks[-1]))
+    assert codec.mtf(last, sorted(set(data))) == ranks
+    for r in [*ranks, None]:
+        if r == 0:
+            zeros += 1
+            continue
+        out += [int(x) for x in reversed(f"{zeros + 1:b}"[1:])] if zeros else []
+        zeros = 0
+        out.append(r + 1 if r else len(front) + 1)
+    assert codec.symbols(ranks, len(front)) == out
+
+
+def test_packed_bits():
+    r = random.Random(8)
+    pairs = [(r.randrange(1 << n), n) for n in (r.randint(1, 20) for _ in range(500))]
+    text = "".join(f"{v:0{n}b}" for v, n in pairs)
+    packed, n = bits.pack(*map(np.array, zip(*pairs, strict=True)))
+    assert n == len(text) and f"{bits.read(packed, 0, n):0{n}b}" == text
