@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,6 +43,11 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
     return C.as_files(_t(spark, sf, "benchmark"), "item_id", "text")
 
 
+def _whole(x: Column) -> Column:
+    """A double as a bigint as SQL casts it: the nearest, of two the even one."""
+    return F.rint(x).cast("bigint")
+
+
 def _as(df: DataFrame, key: str) -> DataFrame:
     return df.withColumnRenamed("file_id", key)
 
@@ -100,7 +105,7 @@ def operand_skips(spark, sf):
 @query("SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * [1, 1024, 1048576, 1073741824, 1099511627776, 1125899906842624, 1][l_linenumber] AS size FROM lineitem")
 def size_literal(spark, sf):
     unit = F.get(F.array(*map(F.lit, ("", "k", "M", "g", "T", "P", ""))), F.col("l_linenumber") - 1)
-    text = F.concat(F.col("l_quantity").cast("bigint").cast("string"), unit)
+    text = F.concat(_whole(F.col("l_quantity")).cast("string"), unit)
     return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", E.size_literal(text).alias("size"))
 
 
@@ -340,7 +345,7 @@ def error_lookup(spark, sf):
 
 @query(f"SELECT l_orderkey, l_linenumber, CASE WHEN CAST(l_extendedprice AS BIGINT) * 10 > l_linenumber * 100000 THEN {CODE['ERR_OVERFLOW']} WHEN l_returnflag = 'R' THEN {CODE['ERR_RUNLEN']} WHEN l_partkey <> l_suppkey THEN {CODE['ERR_BLKCRC']} ELSE 0 END AS final FROM lineitem")
 def block_status(spark, sf):
-    d = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice").cast("bigint") * 10).alias("blk_sz"), F.col("l_linenumber").alias("level"), F.when(F.col("l_returnflag") == "R", CODE["ERR_RUNLEN"]).otherwise(0).alias("status"), F.col("l_partkey").alias("crc"), F.col("l_suppkey").alias("stored_crc"))
+    d = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (_whole(F.col("l_extendedprice")) * 10).alias("blk_sz"), F.col("l_linenumber").alias("level"), F.when(F.col("l_returnflag") == "R", CODE["ERR_RUNLEN"]).otherwise(0).alias("status"), F.col("l_partkey").alias("crc"), F.col("l_suppkey").alias("stored_crc"))
     return J.block_status(d).select("l_orderkey", "l_linenumber", "final")
 
 
