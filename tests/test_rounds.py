@@ -4,7 +4,9 @@ import duckdb
 import pandas as pd
 import pytest
 
+from blockloom.functions import codec
 from blockloom.plans import catalog
+from blockloom.schema import CODE
 
 
 def equal(spark, folder, name, **tables):
@@ -23,3 +25,31 @@ def test_casts_round_as_in_sql(spark, tmp_path, name):
     price = [9999.5, 10000.49, 10000.5, 10000.51, 10001.5, 20000.5, 20000.75, 19999.5]
     lines = pd.DataFrame({"l_orderkey": range(8), "l_linenumber": pd.Series([1, 1, 1, 1, 1, 2, 2, 2], dtype="int32"), "l_quantity": [0.5, 1.5, 2.5, 2.51, 3.0, 4.49, 5.5, 6.5], "l_extendedprice": price, "l_partkey": 7, "l_suppkey": 7, "l_returnflag": "N"})
     equal(spark, tmp_path, name, lineitem=lines)
+
+
+def test_damaged_streams_are_compressed_once(spark):
+    plan = catalog.verify_damaged(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") <= 8  # small and large files: compress, assemble, damage, verify; it was five times as many
+
+
+def test_blocks_before_a_cut_end_are_left_to_the_library(monkeypatch):
+    packed = codec.compress(b"some text of a block, " * 40)
+    monkeypatch.setattr(codec, "_symbols", lambda *a: 1 / 0)
+    for n in (1, 4, 5, 8, 9):
+        status, streams = codec.walk(packed[:-n])
+        assert status == CODE["ERR_EOF"] and streams[0].blocks[0].data == b"some text of a block, " * 40
+
+
+def test_symbols_over_several_segments(monkeypatch):
+    """Tables of code lengths are made piece by piece; pieces of any size give the same."""
+    data = bytes(i * i % 251 for i in range(9000)) + b"z" * 700
+    packed = codec.compress(data)
+    for size in (1020, 1777, 1 << 18):
+        monkeypatch.setattr(codec, "_SEGMENT", size)
+        b = codec.decode_block(packed, 32)
+        assert (b.status, b.data, b.size) == (0, data, len(codec.rle_encode(data)))
+
+
+def test_counts_that_are_missing_or_follow_each_other():
+    for data, plain in ((b"aaaa", None), (b"aaaa\0aaaa", None), (b"aaaa\0aaaa\1b", b"aaaaaaaaab"), (b"aaaaaaa", b"a" * 103), (b"\n\n\n\n\n", b"\n" * 14)):
+        assert codec.rle_decode(data) == plain
