@@ -13,6 +13,7 @@ from blockloom.functions import expressions as E
 from blockloom.functions.layout import KINDS
 from blockloom.operators import columns as C
 from blockloom.operators import confirm as J
+from blockloom.operators import large as L
 from blockloom.operators import streams as S
 from blockloom.schema import CODE, ERRORS
 from blockloom.sources.files import operands
@@ -410,10 +411,9 @@ def roundtrip_native(spark, sf):
 
 
 def _sources(spark, sf):
-    """The texts of a source as one file of many blocks."""
-    d = _t(spark, sf, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n")
-    return C.as_files(d.groupBy("source").agg(texts.alias("text")), "source", "text")
+    """The texts of a source as one file of many blocks, in chunks of a block."""
+    d = _t(spark, sf, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", "text")
+    return L.joined(d, "source", "doc_id", "text", 100_000)
 
 
 _SOURCES = "SELECT coalesce(source, '') AS source, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY coalesce(source, '')"
@@ -422,12 +422,12 @@ _SOURCES = "SELECT coalesce(source, '') AS source, string_agg(coalesce(text, '')
 @query(f"SELECT source, octet_length(encode(text)) AS plain_bytes, md5(text) AS digest, 0 AS status FROM ({_SOURCES})")
 def roundtrip_sources(spark, sf):
     """Files of several blocks, each block decoded by itself."""
-    return _as(_joined(S.decompress(S.compress(_sources(spark, sf), 1).select("file_id", "content"))), "source")
+    return _as(L.digests(L.stream(L.encode(_sources(spark, sf), 1), 1)), "source")
 
 
 @query(f"SELECT source, 1 AS n_streams, octet_length(encode(text)) AS plain_bytes, 0 AS status FROM ({_SOURCES})")
 def verify_sources(spark, sf):
-    checked = S.verify(S.compress(_sources(spark, sf), 1).select("file_id", "content"))
+    checked = L.verify(L.stream(L.encode(_sources(spark, sf), 1), 1))
     return _as(checked.select("file_id", "n_streams", "plain_bytes", "status"), "source")
 
 
@@ -507,11 +507,11 @@ def error_taxonomy(spark, sf):
 @query(f"SELECT source, octet_length(encode(text)) AS plain_bytes, md5(text) AS digest, 0 AS status, true AS whole FROM ({_SOURCES})")
 def aligned_streams(spark, sf):
     """Blocks of whole bytes; streams are their bytes joined in order, and decode to the texts."""
-    blocks = S.align(S.encode_blocks(_sources(spark, sf), 1))
-    parts = S.stream_parts(blocks, 1).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("major", "minor", F.hex("data").alias("data")))).alias("p"))
-    files = parts.select("file_id", F.unhex(F.array_join(F.transform("p", lambda x: x["data"]), "")).alias("content"))
-    bits = blocks.groupBy("file_id").agg(F.bool_and((F.col("n_bits") % 8 == 0) & (F.col("n_bits") == 8 * F.octet_length("bits"))).alias("whole"))
-    return _as(_joined(S.decompress(files)).join(bits, "file_id"), "source")
+    blocks = S.align(L.encode(_sources(spark, sf), 1))
+    whole = F.bool_and((F.col("n_bits") % 8 == 0) & (F.col("n_bits") == 8 * F.octet_length("bits"))).over(W.partitionBy("file_id"))
+    keyed = blocks.withColumn("whole", whole).withColumn("file_id", F.struct("file_id", "whole"))
+    d = L.digests(L.stream(keyed, 1))
+    return d.select(F.col("file_id.file_id").alias("source"), "plain_bytes", "digest", "status", "file_id.whole")
 
 
 @query()
