@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import codec
 from blockloom.functions import expressions as E
+from blockloom.operators.shared import text_batches
 
 
 def spread(df: DataFrame, target: int = 128 << 20) -> DataFrame:
@@ -28,7 +29,7 @@ def spread(df: DataFrame, target: int = 128 << 20) -> DataFrame:
 def as_files(df: DataFrame, key: str, content: str) -> DataFrame:
     """(file_id, content) of a table whose column holds text or bytes."""
     c = F.coalesce(F.col(content).cast("binary"), F.lit(b""))
-    return spread(df.select(F.col(key).alias("file_id"), c.alias("content")))
+    return spread(text_batches(df).select(F.col(key).alias("file_id"), c.alias("content")))
 
 
 def per_file(files: DataFrame, schema: str, make: Callable[[bytes], Iterable[tuple]], batch_rows: int = 4096) -> DataFrame:
@@ -40,8 +41,8 @@ def per_file(files: DataFrame, schema: str, make: Callable[[bytes], Iterable[tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for row in make(data or b""):
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # contents one at a time
+                for row in make(data.as_py() or b""):
                     rows.append((key, *row))
                     if len(rows) >= batch_rows:
                         yield _batch(rows, arrow)

@@ -6,9 +6,11 @@ import random
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from blockloom.functions import codec
+from blockloom.operators import columns as C
 from blockloom.operators import large as L
 from blockloom.plans import catalog
 from blockloom.schema import CODE
@@ -89,3 +91,10 @@ def test_chunked_streams_equal_the_library(spark, monkeypatch):
     assert {x.file_id: (x.digest, x.status) for x in L.digests(cut).collect() if x.file_id == "two"} == {"two": (hashlib.md5(two).hexdigest(), 0)}
     got = {x.file_id: (x.n_streams, x.plain_bytes, x.status) for x in L.verify(cut).collect()}
     assert got["two"] == (2, len(two), 0) and got["bad"][2] == CODE["ERR_BLKCRC"] and got["none"][2] == -1 and got["cut"][2] == CODE["ERR_EOF"]
+
+
+def test_batches_of_texts_are_bounded(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    files = C.as_files(spark.range(0, 80, 1, 1).selectExpr("id", "repeat('x', 500000) AS t"), "id", "t").coalesce(1)
+    sizes = files.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n bigint").collect()
+    assert len(sizes) > 10 and max(r.n for r in sizes) < 6_000_000
