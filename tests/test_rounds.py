@@ -98,3 +98,13 @@ def test_batches_of_texts_are_bounded(spark):
     files = C.as_files(spark.range(0, 80, 1, 1).selectExpr("id", "repeat('x', 500000) AS t"), "id", "t").coalesce(1)
     sizes = files.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n bigint").collect()
     assert len(sizes) > 10 and max(r.n for r in sizes) < 6_000_000
+
+
+def test_trees_stop_when_the_choice_is_settled(monkeypatch):
+    calls = []
+    real = codec.code_lengths
+    monkeypatch.setattr(codec, "code_lengths", lambda f, *a: calls.append(1) or real(f, *a))
+    data = b"the same words again and the same words " * 30
+    bits_, n = codec.encode_native(data)
+    assert bz2.decompress(codec.assemble(9, [(bits_, n, codec.bits.crc(data))])) == data
+    assert 0 < len(calls) < 8 * 2
