@@ -498,10 +498,7 @@ def error_taxonomy(spark, sf):
     docs = _docs(spark, sf).where(F.octet_length("content") > 0)
     packed = S.compress(docs).select("file_id", "content").withColumn("kind", F.get(F.array(*map(F.lit, KINDS)), (F.col("file_id") % len(KINDS)).cast("int")))
     bad = S.spoil(packed, "kind")
-    names = ("n_used", "n_trees", "n_groups", "top_rank", "least_length", "most_length", "ended", "n_out", "bwt_idx")
-    seen = S.block_fields(bad).groupBy("file_id").agg(F.max(E.structural_status(*map(F.col, names))).alias("by_fields"))
-    told = S.verify(bad, False).select("file_id", "status", "message").join(seen, "file_id", "left")
-    return _as(told.withColumn("by_fields", F.coalesce("by_fields", F.lit(0))), "doc_id")
+    return _as(S.verify_fields(bad).select("file_id", "status", "message", "by_fields"), "doc_id")
 
 
 @query(f"SELECT source, octet_length(encode(text)) AS plain_bytes, md5(text) AS digest, 0 AS status, true AS whole FROM ({_SOURCES})")

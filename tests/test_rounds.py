@@ -108,3 +108,8 @@ def test_trees_stop_when_the_choice_is_settled(monkeypatch):
     bits_, n = codec.encode_native(data)
     assert bz2.decompress(codec.assemble(9, [(bits_, n, codec.bits.crc(data))])) == data
     assert 0 < len(calls) < 8 * 2
+
+
+def test_taxonomy_walks_each_stream_once(spark):
+    plan = catalog.error_taxonomy(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") <= 6 and "LeftOuter" not in plan.split("MapInArrow")[0].replace("LeftOuter, (status", "")
