@@ -12,6 +12,7 @@ import pytest
 from blockloom.functions import codec
 from blockloom.operators import columns as C
 from blockloom.operators import large as L
+from blockloom.operators import streams as S
 from blockloom.plans import catalog
 from blockloom.schema import CODE
 
@@ -113,3 +114,13 @@ def test_trees_stop_when_the_choice_is_settled(monkeypatch):
 def test_taxonomy_walks_each_stream_once(spark):
     plan = catalog.error_taxonomy(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") <= 6 and "LeftOuter" not in plan.split("MapInArrow")[0].replace("LeftOuter, (status", "")
+
+
+def test_aligned_blocks_are_encoded_into_chunks(spark):
+    text = "".join(chr(97 + i * i % 23) + chr(97 + i % 7) for i in range(130_000))
+    chunks = L.joined(spark.createDataFrame([("f", 1, text)], "f string, no int, t string"), "f", "no", "t", 100_000)
+    blocks = S.align(L.encode(chunks, 1)).cache()
+    packed = b"".join(bytes(c.data[: L.CHUNK]) for c in L.stream(blocks, 1).orderBy("chunk").collect())
+    rows = blocks.orderBy("major", "minor").collect()
+    assert len(rows) >= 3 and all(r.n_bits == 8 * len(r.bits) for r in rows)
+    assert packed[4:-10] == b"".join(bytes(r.bits) for r in rows) and bz2.decompress(packed) == text.encode()
